@@ -15,8 +15,8 @@ def file_name(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """Parent directory, ``.`` at the root."""
-    depth_cut = F.length(path) - F.length(file_name(path)) - 1
-    return F.when(depth_cut > 0, F.substring(path, F.lit(1), depth_cut)).otherwise(F.lit("."))
+    above = F.regexp_replace(F.concat(F.lit("./"), path), r"/[^/]*$", "")
+    return F.regexp_replace(above, r"^\./", "")
 
 
 def directory_name(path: Column) -> Column:

@@ -28,12 +28,16 @@ def _listed(name: Column) -> Column:
     return ~name.startswith(".") & ~F.lower(name).isin(*fixed.UNLISTED_NAMES)
 
 
+def _chain(directory: str) -> Column:
+    """A directory, its ancestors and the root, nearest first."""
+    inner = F.concat(F.array(directory), paths.ancestors(F.col(directory)), F.array(F.lit(".")))
+    return F.when(F.col(directory) == ".", F.array(F.lit("."))).otherwise(inner)
+
+
 def directories(files: DataFrame) -> DataFrame:
     """Every directory that holds a file at any depth, the root included."""
     direct = files.select(paths.directory(F.col("relative_path")).alias("directory")).distinct()
-    inner = direct.filter("directory <> '.'")
-    chain = F.concat(F.array("directory"), paths.ancestors(F.col("directory")), F.array(F.lit(".")))
-    return inner.select(F.explode(chain).alias("directory")).unionByName(direct).distinct()
+    return direct.select(F.explode(_chain("directory")).alias("directory")).distinct()
 
 
 def directory_entries(files: DataFrame) -> DataFrame:
@@ -43,28 +47,40 @@ def directory_entries(files: DataFrame) -> DataFrame:
         paths.directory(path).alias("directory"), F.lit("file").alias("kind"),
         paths.file_name(path).alias("name"), "size")
     shown = filters.text_only(found.filter(_listed(F.col("name"))), name="name")
-    inner = directories(files).filter("directory <> '.'")
-    below = inner.select(
+    below = directories(files).filter("directory <> '.'").select(
         paths.directory(F.col("directory")).alias("directory"), F.lit("directory").alias("kind"),
         paths.file_name(F.col("directory")).alias("name"), F.lit(None).cast("long").alias("size"))
     return shown.unionByName(below.filter(_listed(F.col("name"))))
 
 
 def directory_totals(files: DataFrame) -> DataFrame:
-    """(directory, num_files, num_dirs, size, main_ext) of every directory. Counts go by
-    extension first; the most frequent one wins, ties by name."""
-    entries = directory_entries(files)
-    by_ext = entries.groupBy("directory", "kind", paths.suffix(F.col("name")).alias("ext")).agg(
-        F.count("*").alias("n"), F.sum("size").alias("size"))
-    is_file = F.col("kind") == "file"
-    totals = by_ext.groupBy("directory").agg(
-        F.sum(F.when(is_file, F.col("n")).otherwise(0)).alias("num_files"),
-        F.sum(F.when(is_file, 0).otherwise(F.col("n"))).alias("num_dirs"),
-        F.sum("size").alias("size"),
-        F.min(F.when(is_file & (F.col("ext") != ""), F.struct((-F.col("n")).alias("n"), "ext")))["ext"].alias("main_ext"))
+    """(directory, num_files, num_dirs, size, main_ext) of every directory, from one scan of the
+    paths and four aggregations of shrinking size: per extension, per directory, every ancestor
+    once, and subdirectories per parent. The most frequent extension wins, ties by name."""
+    path = F.col("relative_path")
+    named = files.select(
+        paths.directory(path).alias("directory"), paths.file_name(path).alias("name"), "size"
+    ).withColumn("ext", paths.suffix(F.col("name")))
+    shown = _listed(F.col("name")) & ~F.col("ext").isin(*fixed.BINARY_EXTENSIONS["tree"])
+    by_ext = named.groupBy("directory", "ext").agg(
+        F.sum(F.when(shown, 1).otherwise(0)).alias("n"), F.sum(F.when(shown, F.col("size"))).alias("size"))
+    own = by_ext.groupBy("directory").agg(
+        F.sum("n").alias("num_files"), F.sum("size").alias("size"),
+        F.min(F.when((F.col("n") > 0) & (F.col("ext") != ""), F.struct((-F.col("n")).alias("n"), "ext")))["ext"].alias("main_ext"))
+    here = F.col("up") == 0
+    every = own.select(F.posexplode(_chain("directory")).alias("up", "directory"), "num_files", "size", "main_ext").groupBy(
+        "directory").agg(*[F.max(F.when(here, F.col(c))).alias(c) for c in ("num_files", "size", "main_ext")])
+    totals = ["num_files", "size", "main_ext"]
+    as_child = F.when(F.col("directory") != ".", F.struct(
+        paths.directory(F.col("directory")).alias("directory"),
+        F.when(_listed(paths.file_name(F.col("directory"))), 1).otherwise(0).alias("child"),
+        *[F.lit(None).alias(c) for c in totals]))
+    both = every.select(F.inline(F.array_compact(F.array(
+        F.struct("directory", F.lit(0).alias("child"), *totals), as_child))))
     zero = F.lit(0).cast("long")
-    return directories(files).join(totals, "directory", "left").select(
-        "directory", *[F.coalesce(c, zero).alias(c) for c in ("num_files", "num_dirs", "size")], "main_ext")
+    return both.groupBy("directory").agg(
+        F.coalesce(F.max("num_files"), zero).alias("num_files"), F.sum("child").alias("num_dirs"),
+        F.coalesce(F.max("size"), zero).alias("size"), F.max("main_ext").alias("main_ext"))
 
 
 def generated_purpose() -> Column:

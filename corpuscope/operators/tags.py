@@ -27,7 +27,7 @@ def new_tag_ids(names: DataFrame, existing: DataFrame | None = None) -> DataFram
     reserved = (
         taken.distinct().select(
             numbered.alias("_slug"),
-            F.regexp_extract("id", r"^([\s\S]*)-([1-9][0-9]{0,8})$", 2).cast("long").alias("k"))
+            F.regexp_extract("id", r"^([\s\S]*)-([1-9][0-9]{0,8})$", 2).try_cast("long").alias("k"))
         .filter(F.col("k").isNotNull())
         .join(slugged.select("_slug").distinct(), "_slug", "left_semi")
         .groupBy("_slug").agg(F.array_sort(F.collect_set("k")).alias("_reserved")))

@@ -356,3 +356,35 @@ def document_sections(files: DataFrame, style: str, options: ReportOptions = Rep
 def tree_sections(files: DataFrame, style: str = "markdown", budget: int = fixed.CHAR_CHUNK_SIZE,
                   extra_spacing: bool = True) -> DataFrame:
     return tree_html(files, extra_spacing) if style.lower() == "html" else tree_markdown(files, budget)
+
+
+def overview_sections(files: DataFrame, options: ReportOptions = ReportOptions(),
+                      enable_chunking: bool = False) -> DataFrame:
+    """(relative_path, part_no, text): short sections of the open documents: a metadata block
+    and the fenced text. With chunking, texts of more characters than the chunk size are cut
+    every that many lines."""
+    content = F.col("content")
+    known = files.withColumn("_frameworks", F.nullif(F.array_join(code.frameworks(content), ", "), F.lit("")))
+    whole = F.array(F.struct(F.lit(1).alias("n"), F.lit(1).alias("of"), content.alias("piece")))
+    cut = whole
+    if enable_chunking:
+        long_text = tx.let(
+            ln.line_chunk_array(content, options.chunk_size, None, "document"),
+            lambda c: F.transform(c, lambda one: F.struct(
+                one["chunk_no"].alias("n"), F.size(c).alias("of"), one["content"].alias("piece"))))
+        cut = F.when(F.length(content) > options.chunk_size, long_text).otherwise(whole)
+    rows = known.withColumn("_cut", cut).drop("content").select("*", F.inline("_cut"))
+    custom = [F.lit(x) for pair in options.fence_labels.items() for x in pair]
+    language = F.col("language")
+    label = F.coalesce(F.try_element_at(F.create_map(*custom), language), language) if custom else language
+    summary = F.col("ai_summary") if "ai_summary" in files.columns else F.lit(None).cast("string")
+    head = F.when(F.col("n") == 1, block(
+        joined("\n## ", F.col("relative_path")),
+        *([block("```yaml", joined("language: ", language),
+                 joined("size: ", tx.size_label(F.col("size"), "document")),
+                 joined("frameworks: ", F.col("_frameworks")), joined("summary: ", summary), "```")]
+          if options.enhanced_summaries else [])))
+    mark = F.when(F.col("of") > 1, F.format_string(" (Chunk %d/%d)", "n", "of")).otherwise("")
+    text = block(head, joined("```", label, mark, "\n", F.col("piece"), "\n```",
+                              "\n" if options.extra_spacing else ""))
+    return rows.select("relative_path", F.col("n").alias("part_no"), text.alias("text"))

@@ -1,29 +1,29 @@
-"""Schemas of the tables that operators exchange."""
+"""Schemas of the tables that operators exchange, as Spark schema strings."""
 
-from pyspark.sql import types as T
 
+def names(ddl: str) -> list[str]:
+    """Column names of a flat schema string."""
+    return [column.split()[0] for column in ddl.split(", ")]
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
 
-
-FILES = _struct(
+FILES = (
     "relative_path string, file_name string, directory string, ext string, content string, "
     "size bigint, mtime timestamp, language string, content_hash string"
 )
-STATE = _struct("relative_path string, content_hash string")
-CHANGES = _struct("relative_path string, change_type string, old_hash string, new_hash string")
-SNAPSHOTS = _struct("snapshot_id string, ts timestamp, description string, tags array<string>")
-NAMED_SNAPSHOTS = _struct("name string, content string, ts timestamp")
-TAGS = _struct(
+STATE = ("relative_path string, content_hash string")
+CHANGES = ("relative_path string, change_type string, old_hash string, new_hash string")
+SNAPSHOTS = ("snapshot_id string, ts timestamp, description string, tags array<string>")
+NAMED_SNAPSHOTS = ("name string, content string, ts timestamp")
+TAGS = (
     "tag_id string, name string, color string, description string, scope string, icon string"
 )
-APPLIED_TAGS = _struct(
+APPLIED_TAGS = (
     "tag_id string, applied_to string, applied_at timestamp, applied_by string"
 )
-IGNORE_RULES = _struct("pattern string, regex string")
-EDGES = _struct(
+IGNORE_RULES = ("pattern string, regex string")
+EDGES = (
     "source string, target string, type string, line int, character int, symbol string, "
     "context string"
 )
-EDITS = _struct("path string, ts timestamp, content_hash string")
+EDITS = ("path string, ts timestamp, content_hash string")
+INHERITANCE = "enabled boolean, override boolean"

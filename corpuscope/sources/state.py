@@ -21,21 +21,19 @@ def load_tags(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, Dat
     """(tags, applied tags, inheritance settings); defaults when nothing was saved."""
     tags = versions.read_latest(spark, f"{base}/tags", schema.TAGS)
     applied = versions.read_latest(spark, f"{base}/applied_tags", schema.APPLIED_TAGS)
-    settings_schema = spark.createDataFrame([], "enabled boolean, override boolean").schema
-    settings = versions.read_latest(spark, f"{base}/inheritance", settings_schema)
+    settings = versions.read_latest(spark, f"{base}/inheritance", schema.INHERITANCE)
     if not versions.finished_versions(spark, f"{base}/inheritance"):
-        settings = spark.createDataFrame([(True, False)], settings_schema)
+        settings = spark.createDataFrame([(True, False)], schema.INHERITANCE)
     return tags, applied, settings
 
 
 def save_tags(tags: DataFrame, applied: DataFrame, base: str, enabled: bool = True,
               override: bool = False) -> None:
     spark = tags.sparkSession
-    versions.write_version(tags.select(*schema.TAGS.names), f"{base}/tags")
-    versions.write_version(applied.select(*schema.APPLIED_TAGS.names), f"{base}/applied_tags")
+    versions.write_version(tags.select(*schema.names(schema.TAGS)), f"{base}/tags")
+    versions.write_version(applied.select(*schema.names(schema.APPLIED_TAGS)), f"{base}/applied_tags")
     versions.write_version(
-        spark.createDataFrame([(enabled, override)], "enabled boolean, override boolean"),
-        f"{base}/inheritance")
+        spark.createDataFrame([(enabled, override)], schema.INHERITANCE), f"{base}/inheritance")
 
 
 def read_tag_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +42,7 @@ def read_tag_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         "tags array<struct<id:string,name:string,color:string,description:string,scope:string,icon:string>>, "
         "appliedTags map<string,array<struct<id:string,appliedTo:string,appliedAt:string,appliedBy:string>>>"
     ).json(path, multiLine=True)
-    tags = loaded.select(F.inline("tags")).withColumnRenamed("id", "tag_id").select(*schema.TAGS.names)
+    tags = loaded.select(F.inline("tags")).withColumnRenamed("id", "tag_id").select(*schema.names(schema.TAGS))
     applied = loaded.select(F.explode("appliedTags").alias("target", "held")).select(
         "target", F.inline("held")).select(
         F.col("id").alias("tag_id"), F.coalesce("appliedTo", "target").alias("applied_to"),

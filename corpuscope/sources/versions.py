@@ -6,7 +6,6 @@ leaves the last version as it was."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 
 def _folder(spark: SparkSession, path: str):
@@ -27,7 +26,7 @@ def finished_versions(spark: SparkSession, base: str) -> list[int]:
     return sorted(done)
 
 
-def read_latest(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
+def read_latest(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """The newest finished version; an empty table when there is none."""
     done = finished_versions(spark, base)
     if not done:
