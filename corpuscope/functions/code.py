@@ -15,7 +15,8 @@ _AFTER_WORD, _BEFORE_WORD = f"(?<={_W})", f"(?={_W})"
 
 
 def _words(words: list[str]) -> str:
-    return f"{_NOT_AFTER_WORD}(?:{'|'.join(words)}){_NOT_BEFORE_WORD}"
+    first = "".join(sorted({w[0] for w in words}))  # a cheap test before the look-behind
+    return f"(?=[{first}]){_NOT_AFTER_WORD}(?:{'|'.join(words)}){_NOT_BEFORE_WORD}"
 
 
 def _count(content: Column, pattern: str) -> Column:
@@ -86,6 +87,14 @@ def raw_references(content: Column, export_to_only: bool = False) -> Column:
 # --- metrics ----------------------------------------------------------------------------
 
 
+def _count_if(hints: list[str], content: Column, pattern: str) -> Column:
+    """Count a pattern only in texts that contain one of the plain texts it needs."""
+    possible = content.contains(hints[0])
+    for hint in hints[1:]:
+        possible = possible | content.contains(hint)
+    return F.when(possible, _count(content, pattern)).otherwise(0)
+
+
 def cyclomatic(content: Column) -> Column:
     """One plus decision points. Operators count only between two word characters, and an
     ``else if`` counts next to its ``if``."""
@@ -93,8 +102,8 @@ def cyclomatic(content: Column) -> Column:
     return (
         F.lit(1)
         + _count(content, _words(fixed.CYCLOMATIC_WORDS))
-        + _count(content, _words(["else if"]))
-        + _count(content, glued)
+        + _count_if(["else if"], content, _words(["else if"]))
+        + _count_if(["&&", "||", "?"], content, glued)
     )
 
 
@@ -104,35 +113,43 @@ def cognitive(content: Column) -> Column:
 
 
 def comment_count(content: Column) -> Column:
-    return _count(content, r"//[^\n\r]*") + _count(content, r"/\*[\s\S]*?\*/")
+    return _count_if(["//"], content, r"//[^\n\r]*") + _count_if(["/*"], content, r"/\*[\s\S]*?\*/")
 
 
 def doc_comment_count(content: Column) -> Column:
-    return _count(content, r"/\*\*[\s\S]*?\*/")
+    return _count_if(["/**"], content, r"/\*\*[\s\S]*?\*/")
 
 
 def fenced_block_count(content: Column) -> Column:
-    return _count(content, r"```[\s\S]*?```")
+    return _count_if(["```"], content, r"```[\s\S]*?```")
+
+
+CREDENTIAL_WORDS = ["password", "secret", "key", "token", "credential"]
+API_KEY_WORDS = ["apikey", "api_key", "api-key"]
+DATABASE_WORDS = ["database", "db.", "sql", "query"]
+NETWORK_WORDS = ["fetch", "axios", "http", "request"]
+
+
+def _mentions(lowered: Column, content: Column, words: list[str]) -> Column:
+    """Any of the words, in any ASCII case. Plain search in the lowered text comes first; the
+    pattern then rules out other letters that lower to ASCII ones."""
+    possible = lowered.contains(words[0])
+    for word in words[1:]:
+        possible = possible | lowered.contains(word)
+    return possible & content.rlike("(?i)" + "|".join(tx.regex_literal(w) for w in words))
 
 
-CREDENTIAL_WORDS = r"(?i)password|secret|key|token|credential"
-API_KEY_WORDS = r"(?i)api[_-]?key"
-DATABASE_WORDS = r"(?i)database|db\.|sql|query"
-NETWORK_WORDS = r"(?i)fetch|axios|http|request"
+def _flags(content: Column, named: dict[str, list[str]]) -> Column:
+    return tx.let(F.lower(content), lambda lowered: F.array_compact(F.array(*[
+        F.when(_mentions(lowered, content, words), name) for name, words in named.items()])))
 
 
 def sensitive_flags(content: Column) -> Column:
-    return F.array_compact(F.array(
-        F.when(content.rlike(CREDENTIAL_WORDS), "potential credentials"),
-        F.when(content.rlike(API_KEY_WORDS), "API key"),
-    ))
+    return _flags(content, {"potential credentials": CREDENTIAL_WORDS, "API key": API_KEY_WORDS})
 
 
 def data_access_flags(content: Column) -> Column:
-    return F.array_compact(F.array(
-        F.when(content.rlike(DATABASE_WORDS), "database access"),
-        F.when(content.rlike(NETWORK_WORDS), "network requests"),
-    ))
+    return _flags(content, {"database access": DATABASE_WORDS, "network requests": NETWORK_WORDS})
 
 
 # --- purpose from the leading text ------------------------------------------------------

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from corpuscope.functions.text import let
+
 
 def located(content: Column, pattern: str, groups: dict[str, int]) -> Column:
     """array<struct(matched, <groups...>, start, end, line, character)> of all matches of
@@ -16,12 +18,15 @@ def located(content: Column, pattern: str, groups: dict[str, int]) -> Column:
     ``start``/``end`` are 0-based code point offsets (end excluded), ``line`` and ``character``
     the 0-based position of the start."""
     names = ["matched", *groups]
-    hits = F.zip_with(
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
-        F.split(content, pattern, -1),
-        lambda matched, gap: F.struct(matched.alias("matched"), gap.alias("gap")),
-    )
-    hits = F.filter(hits, lambda hit: hit["matched"].isNotNull())  # drops the text after the last
+
+    def with_gaps(found: Column) -> Column:
+        # The piece after the last match has no partner and is dropped.
+        both = F.zip_with(found, F.slice(F.split(content, pattern, -1), F.lit(1), F.size(found)),
+                          lambda matched, gap: F.struct(matched.alias("matched"), gap.alias("gap")))
+        none = F.array().cast("array<struct<matched:string,gap:string>>")
+        return F.when(F.size(found) > 0, both).otherwise(none)
+
+    hits = let(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), with_gaps)
     fields = ", ".join(f"{name}:string" for name in names)
     out_type = f"array<struct<{fields}, start:int, end:int, line:int, character:int>>"
 
@@ -55,5 +60,4 @@ def located(content: Column, pattern: str, groups: dict[str, int]) -> Column:
         F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(0).alias("character"),
         F.array().cast(out_type).alias("out"),
     )
-    folded = F.aggregate(hits, zero, step, lambda acc: acc["out"])
-    return F.when(content.rlike(pattern), folded).otherwise(F.array().cast(out_type))
+    return F.aggregate(hits, zero, step, lambda acc: acc["out"])

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from corpuscope.functions import matches
+from corpuscope.functions import text as tx
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,9 @@ class SensitivePattern:
     value: str
     after: str
     flags: str = "(?i)"
+    # Lower-case texts one of which every match contains; none: unknown. They only spare the
+    # pattern search of texts that cannot match.
+    hints: tuple[str, ...] = ()
 
     @property
     def regex(self) -> str:
@@ -33,15 +37,17 @@ BUILT_IN_PATTERNS = [
     SensitivePattern(
         "API Key",
         r"""['"]?(?:api[_-]?key|api[_-]?token|access[_-]?token|auth[_-]?token)""" + _QUOTED,
-        r"""[^'"]+""", r"""['"]"""),
+        r"""[^'"]+""", r"""['"]""", hints=("api", "access", "auth")),
     SensitivePattern(
-        "Password", r"""['"]?(?:password|passwd|pwd)""" + _QUOTED, r"""[^'"]+""", r"""['"]"""),
+        "Password", r"""['"]?(?:password|passwd|pwd)""" + _QUOTED, r"""[^'"]+""", r"""['"]""",
+        hints=("passw", "pwd")),
     SensitivePattern(
         "Email", r"""['"]?(?:email|e-mail)""" + _QUOTED,
-        r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"""['"]"""),
+        r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"""['"]""", hints=("email", "e-mail")),
     SensitivePattern(
         "Private Key", "",
-        r"-----BEGIN [^\n]+?PRIVATE KEY-----[^-]+?-----END [^\n]+?PRIVATE KEY-----", "", ""),
+        r"-----BEGIN [^\n]+?PRIVATE KEY-----[^-]+?-----END [^\n]+?PRIVATE KEY-----", "", "",
+        hints=("private key",)),
 ]
 
 
@@ -85,27 +91,41 @@ def _named(pattern_name: str):
     return row
 
 
+def _possible(content: Column, pattern: SensitivePattern) -> Column:
+    if not pattern.hints:
+        return F.lit(True)
+
+    def any_hint(lowered: Column) -> Column:
+        hit = lowered.contains(pattern.hints[0])
+        for hint in pattern.hints[1:]:
+            hit = hit | lowered.contains(hint)
+        return hit
+
+    return tx.let(F.lower(content), any_hint)
+
+
 def found(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT_IN_PATTERNS)) -> Column:
     """All matches of all patterns, in pattern order."""
     per_pattern = []
     for pattern in patterns:
         groups = {"before": _group_of(pattern, "before"), "value": _group_of(pattern, "value")}
         hits = matches.located(content, pattern.regex, groups)
-        per_pattern.append(F.transform(hits, _named(pattern.name)))
+        per_pattern.append(F.when(
+            _possible(content, pattern), F.transform(hits, _named(pattern.name)).cast(MATCH_TYPE)
+        ).otherwise(F.array().cast(MATCH_TYPE)))
     return F.concat(*per_pattern) if per_pattern else F.array().cast(MATCH_TYPE)
 
 
 def is_sensitive(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT_IN_PATTERNS)) -> Column:
     hit = F.lit(False)
     for pattern in patterns:
-        hit = hit | content.rlike(pattern.regex)
+        hit = hit | (_possible(content, pattern) & content.rlike(pattern.regex))
     return hit
 
 
 def redacted(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT_IN_PATTERNS)) -> Column:
     """Every matched value replaced by as many ``*``; the rest of the text is unchanged.
     Values are found in the original text, so overlapping hits mask their union."""
-    patterns = list(patterns)
     spans = F.array_sort(F.transform(found(content, patterns), lambda h: F.struct(
         h["value_start"].alias("start"),
         (h["value_start"] + F.length(h["value"])).cast("int").alias("end"))))
@@ -118,7 +138,10 @@ def redacted(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT
         return F.when(span["end"] <= acc["at"], acc).otherwise(
             F.struct(span["end"].alias("at"), grown.alias("out")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate(spans, zero, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(content, acc["at"] + 1, F.length(content))))
-    return F.when(is_sensitive(content, patterns), masked).otherwise(content)
+    def masked(found_spans: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        rebuilt = F.aggregate(found_spans, zero, step, lambda acc: F.concat(
+            F.array_join(acc["out"], ""), F.substring(content, acc["at"] + 1, F.length(content))))
+        return F.when(F.size(found_spans) > 0, rebuilt).otherwise(content)
+
+    return tx.let(spans, masked)

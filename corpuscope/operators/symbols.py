@@ -1,154 +1,23 @@
-"""Python symbols, decorators, annotations and imports, by line rules inside the row.
-
-A text is lexed once by one regular expression: strings become ``()`` with their line feeds
-kept, comments vanish. Lines joined by open brackets or a backslash become one logical line.
-A fold over logical lines keeps the stack of enclosing blocks by indent. There is no syntax
-tree and no shuffle. Rows that are not valid Python yield whatever lines look like symbols."""
+"""Python symbols, decorators, annotations and imports, by line rules inside the row: no syntax
+tree and no shuffle. A text that is not valid Python yields whatever lines look like symbols."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuscope.functions import pysource
 from corpuscope.functions import text as tx
 from corpuscope.operators import lines as ln
 
-_TOKENS = (
-    r'"""[\s\S]*?"""|' r"'''[\s\S]*?'''|"
-    r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|' r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|"
-    r"#[^\n]*"
-)
-
-
-def masked(content: Column) -> Column:
-    """The code without comments and string contents, with the same line numbers."""
-
-    def cover(gap: Column, token: Column) -> Column:
-        feeds = F.regexp_replace(token, r"[^\n]+", "")
-        return F.concat(gap, F.when(token.isNull() | token.startswith("#"), F.lit("")).otherwise(
-            F.concat(F.lit("("), feeds, F.lit(")"))))
-
-    return F.array_join(F.zip_with(
-        F.split(content, _TOKENS, -1), F.regexp_extract_all(content, F.lit(_TOKENS), F.lit(0)),
-        cover), "")
-
-
-_LOGICAL = "struct<start:int,end:int,indent:int,code:string,text:string>"
-
-
-def logical_lines(content: Column) -> Column:
-    """array<struct(start, end, indent, code, text)>, blank and comment lines left out.
-    ``code`` is masked, ``text`` is as written; both are trimmed and joined by a space."""
-
-    def physical(text: Column, code: Column) -> Column:
-        return F.struct(text.alias("text"), code.alias("code"))
-
-    def numbered(line: Column, at: Column) -> Column:
-        code = F.rtrim(line["code"], F.lit(tx.WHITESPACE))
-        return F.struct(
-            (at + 1).alias("no"),
-            (F.length(code) - F.length(F.ltrim(code, F.lit(tx.WHITESPACE)))).alias("indent"),
-            F.rtrim(tx.strip(code), F.lit("\\")).alias("code"),
-            tx.strip(line["text"]).alias("text"),
-            (F.length(F.translate(code, ")]}", "")) - F.length(F.translate(code, "([{", ""))).alias("delta"),
-            code.endswith("\\").alias("joins"),
-        )
-
-    def step(acc: Column, line: Column) -> Column:
-        joined = F.when(acc["more"], F.struct(
-            acc["open"]["start"].alias("start"), line["no"].alias("end"),
-            acc["open"]["indent"].alias("indent"),
-            F.concat_ws(" ", acc["open"]["code"], F.nullif(line["code"], F.lit(""))).alias("code"),
-            F.concat_ws(" ", acc["open"]["text"], line["text"]).alias("text"),
-        )).otherwise(F.struct(
-            line["no"].alias("start"), line["no"].alias("end"), line["indent"].alias("indent"),
-            line["code"].alias("code"), line["text"].alias("text"))).cast(_LOGICAL)
-        depth = F.greatest(acc["depth"] + line["delta"], F.lit(0))
-        more = (depth > 0) | line["joins"]
-        grown = F.when(more, acc["out"]).otherwise(F.concat(acc["out"], F.array(joined)))
-        return F.when(~acc["more"] & (line["code"] == "") & ~line["joins"], acc).otherwise(F.struct(
-            depth.alias("depth"), more.alias("more"), joined.alias("open"), grown.alias("out")))
-
-    zero = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("more"), F.lit(None).cast(_LOGICAL).alias("open"),
-        F.array().cast(f"array<{_LOGICAL}>").alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["more"], F.concat(acc["out"], F.array(acc["open"]))).otherwise(acc["out"])
-
-    both = F.zip_with(tx.lines(content), tx.lines(masked(content)), physical)
-    return F.aggregate(F.transform(both, numbered), zero, step, finish)
-
-
-_SYMBOL = (
-    "struct<start_line:int,end_line:int,kind:string,name:string,parent:string,indent:int,"
-    "listed:boolean,decorators:array<string>,signature:string>"
-)
-
-
-def symbol_array(logical: Column) -> Column:
-    """array of all classes and functions, by start line. ``listed`` marks top-level classes
-    and functions, functions directly in a listed class, and functions directly in a listed
-    function; not nested classes, nor anything under a statement such as ``if`` or under an
-    ``async def`` (which is itself no symbol)."""
-
-    def step(acc: Column, line: Column) -> Column:
-        def entered(at: Column) -> Column:
-            kept, code = at["kept"], line["code"]
-            outer = F.try_element_at(kept, F.lit(-1))
-            top = F.size(kept) == 0
-            word = F.regexp_extract(code, r"^(class|def)\s+\w+", 1)
-            listed = F.when(word == "class", top).when(word == "def", top | outer["listed"]).otherwise(False)
-            kind = F.when(word == "class", "class").when((word == "def") & top, "function").when(
-                word == "def", "nested").otherwise("other")
-            entry = F.struct(
-                line["start"].alias("start_line"), line["end"].alias("end_line"), kind.alias("kind"),
-                F.regexp_extract(code, r"^(?:class|def)\s+(\w+)", 1).alias("name"),
-                outer["name"].alias("parent"), line["indent"].alias("indent"),
-                listed.alias("listed"), acc["pending"].alias("decorators"), line["text"].alias("signature"),
-            ).cast(_SYMBOL)
-            decorates = F.when(code.startswith("@"), F.concat(
-                acc["pending"], F.array(line["text"]))).otherwise(F.array().cast("array<string>"))
-            return F.struct(
-                F.concat(kept, F.array(entry)).alias("stack"), at["out"].alias("out"),
-                decorates.alias("pending"), line["end"].alias("last"))
-
-        closed = _ended(F.filter(acc["stack"], lambda s: (s["kind"] != "other") & (s["indent"] >= line["indent"])), acc["last"])
-        return tx.let(F.struct(
-            F.filter(acc["stack"], lambda s: s["indent"] < line["indent"]).alias("kept"),
-            F.concat(acc["out"], closed).alias("out")), entered)
-
-    zero = F.struct(
-        F.array().cast(f"array<{_SYMBOL}>").alias("stack"), F.array().cast(f"array<{_SYMBOL}>").alias("out"),
-        F.array().cast("array<string>").alias("pending"), F.lit(0).alias("last"))
-
-    def finish(acc: Column) -> Column:
-        rest = _ended(F.filter(acc["stack"], lambda s: s["kind"] != "other"), acc["last"])
-        return F.array_sort(F.concat(acc["out"], rest))
-
-    return F.aggregate(logical, zero, step, finish)
-
-
-def _ended(symbols: Column, last: Column) -> Column:
-    return F.transform(symbols, lambda s: s.withField("end_line", last))
-
-
-def adjusted_lines(content: Column, start: Column, end: Column) -> Column:
+def adjusted_lines(leading: Column, symbol: Column) -> Column:
     """struct(start, end): leading blank lines of the text are not counted, and a definition
-    after blank lines is moved to two lines below the code before it, with end = start + 1."""
-
-    def body(facts: Column) -> Column:
-        code_before = F.coalesce(F.array_max(F.filter(facts["code"], lambda n: n < start)), F.lit(0))
-        shifted = start - facts["leading"]
-        moves = (shifted > 1) & (start - 1 > code_before)
-        new_start = F.when(moves, code_before - facts["leading"] + 2).otherwise(shifted)
-        return F.struct(
-            new_start.cast("int").alias("start"),
-            F.when(moves, new_start + 1).otherwise(end - facts["leading"]).cast("int").alias("end"))
-
-    numbers = F.array_compact(F.transform(
-        tx.lines(content), lambda p, i: F.when(tx.strip(p) != "", i + 1)))
-    return tx.let(numbers, lambda code: tx.let(F.struct(
-        code.alias("code"), (F.coalesce(F.get(code, 0), F.lit(1)) - 1).alias("leading")), body))
+    after blank lines is moved to two lines below the text before it, with end = start + 1."""
+    shifted = symbol["start_line"] - leading
+    moves = (shifted > 1) & (symbol["start_line"] - 1 > symbol["line_before"])
+    start = F.when(moves, symbol["line_before"] - leading + 2).otherwise(shifted)
+    return F.struct(
+        start.cast("int").alias("start"),
+        F.when(moves, start + 1).otherwise(symbol["end_line"] - leading).cast("int").alias("end"))
 
 
 # One annotation: a name with up to four levels of brackets, or a quoted name.
@@ -192,7 +61,7 @@ def decorator_label(text: Column) -> Column:
               F.when(F.size(arguments) > 0, F.concat(name, F.lit("("), shown, F.lit(")"))).otherwise(name)))
 
 
-def import_array(logical: Column) -> Column:
+def import_array(statements: Column) -> Column:
     """Sorted distinct imported modules: the top-level name, the full path below ``config``,
     and the names of ``from . import``."""
 
@@ -202,8 +71,7 @@ def import_array(logical: Column) -> Column:
             lambda n: F.regexp_replace(tx.strip(n), r"\s+as\s+\w+$", ""))
         return F.filter(listed, lambda n: n != "")
 
-    def imported(line: Column) -> Column:
-        code = line["code"]
+    def imported(code: Column) -> Column:
         plain = F.transform(
             names(F.regexp_extract(code, r"^import\s+(.*)$", 1)),
             lambda n: F.when(n.startswith("config."), n).otherwise(F.substring_index(n, ".", 1)))
@@ -216,16 +84,14 @@ def import_array(logical: Column) -> Column:
         return F.when(code.rlike(r"^import\s"), plain).when(
             code.rlike(r"^from\s+[\w.\s]*\bimport\b"), of_module).otherwise(F.array().cast("array<string>"))
 
-    statements = F.filter(logical, lambda line: line["code"].rlike(r"^(?:import|from)\s"))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(statements, imported))))
 
 
-def with_symbols(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``logical``, ``all_symbols`` and ``symbols`` (listed ones), each computed once."""
-    return (
-        files.withColumn("logical", logical_lines(F.col(content)))
-        .withColumn("all_symbols", symbol_array(F.col("logical")))
-        .withColumn("symbols", F.filter("all_symbols", lambda s: s["listed"])))
+def with_scan(files: DataFrame, content: Column | None = None) -> DataFrame:
+    """Add ``scan`` and ``symbols`` (the listed ones). Rows whose content is null cost nothing."""
+    content = F.col("content") if content is None else content
+    return files.withColumn("scan", pysource.scanned(content)).withColumn(
+        "symbols", F.filter("scan.symbols", lambda s: s["listed"]))
 
 
 def python_files(files: DataFrame) -> DataFrame:
@@ -235,24 +101,24 @@ def python_files(files: DataFrame) -> DataFrame:
 def symbols(files: DataFrame) -> DataFrame:
     """(relative_path, kind, name, parent, start_line, end_line) of Python files."""
     return (
-        with_symbols(python_files(files)).select("relative_path", F.inline("symbols"))
+        with_scan(python_files(files)).select("relative_path", F.inline("symbols"))
         .select("relative_path", "kind", "name", "parent", "start_line", "end_line"))
 
 
 def adjusted_symbols(files: DataFrame) -> DataFrame:
     """Symbols with their line range counted without leading blank lines."""
     return (
-        with_symbols(python_files(files))
+        with_scan(python_files(files))
         .select("relative_path", F.inline(F.transform("symbols", lambda s: F.struct(
             s["kind"].alias("kind"), s["name"].alias("name"), s["parent"].alias("parent"),
-            adjusted_lines(F.col("content"), s["start_line"], s["end_line"]).alias("lines")))))
+            adjusted_lines(F.col("scan.leading"), s).alias("lines")))))
         .select("relative_path", "kind", "name", "parent",
                 F.col("lines.start").alias("start_line"), F.col("lines.end").alias("end_line")))
 
 
 def annotations(files: DataFrame) -> DataFrame:
     """(relative_path, category, label): distinct decorators and type annotations per file."""
-    found = with_symbols(python_files(files)).select(
+    found = with_scan(python_files(files)).select(
         "relative_path", decorators_of(F.col("symbols")).alias("decorator"),
         annotations_of(F.col("symbols")).alias("annotation"))
     return found.select("relative_path", F.inline(F.concat(
@@ -272,19 +138,20 @@ def annotations_of(symbols: Column) -> Column:
 
 def dependencies(files: DataFrame) -> DataFrame:
     """(relative_path, dependency) of Python files."""
-    return python_files(files).select(
-        "relative_path", F.explode(import_array(logical_lines(F.col("content")))).alias("dependency"))
+    return with_scan(python_files(files)).select(
+        "relative_path", F.explode(import_array(F.col("scan.imports"))).alias("dependency"))
 
 
-def analysis_text(content: Column, logical: Column, symbols: Column) -> Column:
-    """The per-file summary: classes, functions, nested functions, decorators, annotations,
-    marked comments and imports, in this order; absent parts are left out."""
+def analysis_text(content: Column) -> Column:
+    """The per-file summary of a scanned row: classes, functions, nested functions, decorators,
+    annotations, marked comments and imports, in this order; absent parts are left out."""
+    symbols, leading = F.col("symbols"), F.col("scan.leading")
 
     def listing(kind: str) -> Column:
         shown = F.transform(
             F.filter(symbols, lambda s: s["kind"] == kind),
             lambda s: tx.let(
-                adjusted_lines(content, s["start_line"], s["end_line"]),
+                adjusted_lines(leading, s),
                 lambda at: F.struct(
                     F.when(F.lit(kind == "nested"), F.concat_ws(" -> ", s["parent"], s["name"])
                            ).otherwise(s["name"]).alias("name"),
@@ -302,7 +169,7 @@ def analysis_text(content: Column, logical: Column, symbols: Column) -> Column:
         "Decorators Used": F.array_join(decorators_of(symbols), ", "),
         "Type Annotations": F.array_join(annotations_of(symbols), ", "),
         "Code Patterns": F.array_join(marks, ", "),
-        "Key Dependencies": F.array_join(import_array(logical), ", "),
+        "Key Dependencies": F.array_join(import_array(F.col("scan.imports")), ", "),
     }
     rows = [tx.let(value, _titled(title)) for title, value in parts.items()]
     return F.concat_ws("\n", F.lit("### Quick Analysis"), *rows)
@@ -313,5 +180,5 @@ def _titled(title: str):
 
 
 def analysis_summary(files: DataFrame) -> DataFrame:
-    return with_symbols(python_files(files)).select("relative_path", analysis_text(
-        F.col("content"), F.col("logical"), F.col("symbols")).alias("summary"))
+    return with_scan(python_files(files)).select("relative_path", analysis_text(
+        F.col("content")).alias("summary"))

@@ -42,11 +42,10 @@ def _present(value: Column, rendered: Column) -> Column:
 def _with_analysis(files: DataFrame) -> DataFrame:
     """Add ``_analysis``: the symbol summary of Python files, a fixed remark for others."""
     is_python = F.col("language") == "python"
-    files = sy.with_symbols(files.withColumn("_code", F.when(is_python, F.col("content")).otherwise("")), "_code")
-    return files.withColumn("_analysis", F.when(
-        is_python, sy.analysis_text(F.col("_code"), F.col("logical"), F.col("symbols"))
-    ).otherwise("Unable to analyze file content")).withColumn(
-        "_imports", sy.import_array(F.col("logical"))).drop("logical", "all_symbols", "symbols", "_code")
+    scanned = sy.with_scan(files, F.when(is_python, F.col("content")))
+    return scanned.withColumn("_analysis", F.when(is_python, sy.analysis_text(F.col("content"))).otherwise(
+        "Unable to analyze file content")).withColumn(
+        "_imports", sy.import_array(F.col("scan.imports"))).drop("scan", "symbols")
 
 
 def _tree_parts(files: DataFrame, budget: int) -> DataFrame:

@@ -37,11 +37,10 @@ def toc_entries(files: DataFrame, with_symbols: bool = False) -> DataFrame:
         F.format_string("Lines %d-%d", c["a"], c["b"]).alias("summary")))
     groups = [main]
     if with_symbols:
-        files = sy.with_symbols(files.withColumn(
-            "_code", F.when(paths.language(path) == "python", F.col("content")).otherwise("")), "_code")
+        files = sy.with_scan(files, F.when(paths.language(path) == "python", F.col("content")))
 
         def names(is_class: bool) -> Column:
-            wanted = F.filter("all_symbols", lambda s: (s["kind"] == "class") == F.lit(is_class))
+            wanted = F.filter("scan.symbols", lambda s: (s["kind"] == "class") == F.lit(is_class))
             return F.transform(wanted, lambda s: s["name"])
 
         groups += [_entries(names(True), "Class", "class"), _entries(names(False), "Function", "function")]

@@ -86,11 +86,9 @@ def analysis_columns(content: Column) -> dict[str, Column]:
 def with_metadata(files: DataFrame) -> DataFrame:
     """Tree-dialect metadata: purpose and, for Python, the sorted import list."""
     is_python = (F.col("language") == "python") & ~F.col("file_name").startswith(".")
-    imports = F.when(is_python, symbols.import_array(symbols.logical_lines(F.col("content")))).otherwise(
-        F.array().cast("array<string>"))
-    return files.withColumn(
+    return symbols.with_scan(files, F.when(is_python, F.col("content"))).withColumn(
         "purpose", code.file_purpose(F.col("file_name"), F.col("ext"), F.col("content"))
-    ).withColumn("dependencies", imports)
+    ).withColumn("dependencies", symbols.import_array(F.col("scan.imports"))).drop("scan", "symbols")
 
 
 def dependency_lists(files: DataFrame) -> DataFrame:

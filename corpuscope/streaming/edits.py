@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpuscope import schema, session
+from corpuscope import schema
 from corpuscope.operators import changes, filters, reuse, rollup
 from corpuscope.sources import versions
 
@@ -34,11 +34,8 @@ def collapsed(edits: DataFrame, key: str = "path", at: str = "ts") -> DataFrame:
     return edits.mapInPandas(last, edits.schema)
 
 
-_FEED = (
-    "path string, ts timestamp, change_type string, old_hash string, new_hash string, "
-    "old_language string, old_size bigint, language string, size bigint"
-)
-_STATE = "ts timestamp, content_hash string, language string, size bigint"
+_FEED = "path string, ts timestamp, change_type string, old_hash string, new_hash string"
+_STATE = "ts timestamp, content_hash string"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,28 +44,21 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         row = batch.loc[batch["ts"].idxmax()]
         if newest is None or row["ts"] >= newest["ts"]:
             newest = row
-    before = state.get if state.exists else (None, None, None, None)
+    before = state.get if state.exists else (None, None)
     if newest is None or (before[0] is not None and newest["ts"] < pd.Timestamp(before[0])):
         return
-    size = None if pd.isna(newest["size"]) else int(newest["size"])
-    state.update((newest["ts"], newest["content_hash"], newest["language"], size))
-    if state.exists and before[1] == newest["content_hash"]:
+    state.update((newest["ts"], newest["content_hash"]))
+    if before[1] == newest["content_hash"]:
         return
-    yield pd.DataFrame([{
-        "path": key[0], "ts": newest["ts"], "change_type": "added" if before[0] is None else "modified",
-        "old_hash": before[1], "new_hash": newest["content_hash"],
-        "old_language": before[2], "old_size": before[3], "language": newest["language"], "size": size,
-    }]).astype({"old_size": "Int64", "size": "Int64"})
+    yield pd.DataFrame({
+        "path": [key[0]], "ts": [newest["ts"]], "change_type": ["modified" if before[0] is not None else "added"],
+        "old_hash": [before[1]], "new_hash": [newest["content_hash"]]})
 
 
 def change_feed(edits: DataFrame) -> DataFrame:
     """Added / modified per path against the last known hash. The state is one row per path;
     an edit older than the state is ignored. Removals need a full listing (see the batch form)."""
-    for name, kind in (("language", "string"), ("size", "bigint")):
-        if name not in edits.columns:
-            edits = edits.withColumn(name, F.lit(None).cast(kind))
-    rows = edits.select("path", "ts", "content_hash", "language", "size")
-    return collapsed(rows).groupBy("path").applyInPandasWithState(
+    return collapsed(edits.select("path", "ts", "content_hash")).groupBy("path").applyInPandasWithState(
         _advance, _FEED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -101,32 +91,30 @@ def _all_versions(spark: SparkSession, base: str, columns: str) -> DataFrame:
     return spark.read.schema(columns).parquet(*[f"{base}/version={n}" for n in done])
 
 
-_DELTA = "language string, n_files bigint, n_bytes bigint"
+_LATEST = "path string, ts timestamp, language string, size bigint"
 
 
 def refresh_language_stats(edits: DataFrame, base: str) -> DataFrame:
-    """Language statistics that follow edits. Each micro-batch adds one small table of signed
-    differences (a re-edited file leaves its old language and size), and the statistics are the
-    sum of these tables: bounded by languages, not by files."""
+    """Language statistics that follow edits: the last edit per path is kept as a slim table,
+    one version per micro-batch, and a re-edited file counts once. A batch always starts from
+    the version of its predecessor, so running it again gives the same version."""
     spark = edits.sparkSession
-    keep_state_on_disk(spark)
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        signed = rows.select(F.inline(F.array(
-            F.struct(F.col("language"), F.lit(1).alias("n"), F.col("size").alias("b")),
-            F.struct(F.col("old_language").alias("language"), F.lit(-1).alias("n"), (-F.col("old_size")).alias("b")),
-        ))).filter("language is not null")
-        delta = signed.groupBy("language").agg(
-            F.sum("n").cast("long").alias("n_files"), F.sum("b").cast("long").alias("n_bytes"))
-        versions.write_version(delta, f"{base}/deltas", batch_id)
-
-    run(change_feed(edits), f"{base}/checkpoint", write)
-    deltas = _all_versions(spark, f"{base}/deltas", _DELTA)
-    return deltas.rollup("language").agg(
-        F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"),
-        F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"),
-    ).filter("language is null or n_files <> 0").withColumn(
-        "language", F.coalesce("language", F.lit(rollup.ALL_LANGUAGES)))
+    def step(rows: DataFrame, batch_id: int) -> None:
+        known = _state_before(rows.sparkSession, f"{base}/latest", batch_id, _LATEST)
+        both = known.unionByName(rows.select("path", "ts", "language", "size"))
+        versions.write_version(reuse.latest_versions(both), f"{base}/latest", batch_id + 1)
+
+    run(edits, f"{base}/checkpoint", step)
+    return rollup.language_stats(versions.read_latest(spark, f"{base}/latest", _LATEST))
+
+
+def _state_before(spark: SparkSession, base: str, batch_id: int, columns: str) -> DataFrame:
+    """The newest version that batches before this one have written."""
+    done = [n for n in versions.finished_versions(spark, base) if n <= batch_id]
+    if not done:
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(columns).parquet(f"{base}/version={done[-1]}")
 
 
 def incremental_run(edits: DataFrame, base: str, process: Callable[[DataFrame], DataFrame]) -> None:
@@ -138,9 +126,7 @@ def incremental_run(edits: DataFrame, base: str, process: Callable[[DataFrame],
 
     def step(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        done = [n for n in versions.finished_versions(spark, f"{base}/state") if n <= batch_id]
-        state = spark.read.schema(schema.STATE).parquet(
-            f"{base}/state/version={done[-1]}") if done else spark.createDataFrame([], schema.STATE)
+        state = _state_before(spark, f"{base}/state", batch_id, schema.STATE)
         last = reuse.latest_versions(rows, "relative_path", "ts")
         fresh = filters.changed_since(last, state)
         kinds = changes.track_changes(state, fresh).filter("change_type <> 'removed'")
@@ -155,7 +141,3 @@ def incremental_run(edits: DataFrame, base: str, process: Callable[[DataFrame],
 
 def incremental_results(spark: SparkSession, base: str, columns: str) -> DataFrame:
     return _all_versions(spark, f"{base}/results", columns)
-
-
-def stream_folder(spark: SparkSession, label: str) -> str:
-    return session.new_folder(spark, label)

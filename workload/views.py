@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpuscope import session
 from corpuscope.functions import paths
 from corpuscope.functions import text as tx
 
@@ -13,8 +14,13 @@ CODE_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".css"]
 FIRST_DAY = "2024-01-01 00:00:00"
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the ones with texts are spread when they come in few splits."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return session.spread(rows, KEYS[name]) if name in KEYS else rows
 
 
 def _pick(values: list[str], number: Column) -> Column:
@@ -172,7 +178,7 @@ def edits(rows: DataFrame) -> DataFrame:
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a stream of its files."""
-    static = table(spark, sf_dir, name)
+    static = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
