@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscope import fixed
+from corpuscope import fixed, session
 from corpuscope.operators import changes, filters, rollup
 from corpuscope.options import ReportOptions
 from corpuscope.plans import sections, toc
@@ -25,6 +25,14 @@ def tree_files(
     return rollup.with_user_summaries(fl.described(texts)), rejects
 
 
+def staged(files: DataFrame) -> DataFrame:
+    """The scanned files as a table in the shared folder. A report, its change list and the next
+    state all read it, each only its columns, instead of opening every file again."""
+    folder = session.new_folder(files.sparkSession, "files")
+    files.write.parquet(folder)
+    return files.sparkSession.read.schema(files.schema).parquet(folder)
+
+
 def tree_report(files: DataFrame, style: str = "markdown", budget: int = fixed.CHAR_CHUNK_SIZE,
                 extra_spacing: bool = True) -> DataFrame:
     """(part, relative_path, part_no, text): table of contents first, then the sections."""
@@ -60,7 +68,8 @@ def aggregate_tree(
 ) -> DataFrame | None:
     """Write the report of a tree to ``output``; with a state folder also track changes since
     the last run (returned), and, if incremental, report only changed files."""
-    files, _ = tree_files(spark, root, exclude_dirs, max_bytes)
+    scanned, _ = tree_files(spark, root, exclude_dirs, max_bytes)
+    files = staged(scanned)
     shown, changed = files, None
     if state_folder:
         before = state.load_state(spark, state_folder)

@@ -20,12 +20,10 @@ def scan_tree(spark: SparkSession, root: str, max_bytes: int | None = None,
     found = reader.load(root)
     if max_bytes is not None:
         found = found.filter(F.col("length") <= max_bytes)
-    # Paths come back as URIs; what follows the root is the same with or without a scheme.
-    plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    inside = F.concat(F.lit(plain), F.lit("/"))
-    relative = F.substring("path", F.instr("path", inside) + F.length(inside), F.length("path"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return found.select(
-        F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("relative_path"),
+        F.substring("path", F.lit(len(base.rstrip("/")) + 2), F.length("path")).alias("relative_path"),
         F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
         F.col("content").alias("bytes"))
 

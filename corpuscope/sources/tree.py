@@ -46,7 +46,7 @@ def list_tree(spark: SparkSession, root: str, skip_pattern: str | None = None) -
                     "relative_path": [f.path[len(base) + 1:] for f in found],
                     "is_dir": [f.type == fs.FileType.Directory for f in found],
                     "size": [f.size or 0 for f in found],
-                    "mtime": pd.to_datetime([f.mtime_ns or 0 for f in found], unit="ns", utc=True),
+                    "mtime": pd.to_datetime([f.mtime_ns or 0 for f in found], unit="ns", utc=True).floor("us"),
                 }).astype({"relative_path": "object", "is_dir": "bool", "size": "int64"})
 
     level, depth = spark.createDataFrame([("",)], "relative_path string"), 0
