@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuscope import session
 from corpuscope.functions import text as tx
 
 CHANGE_TYPES = ["added", "modified", "removed", "unchanged"]
@@ -101,13 +102,15 @@ def line_diff(
 ) -> DataFrame:
     """(relative_path, diff) of files whose text changed. Hashes find them first, so only their
     contents are joined, and the diff is built inside the row."""
-    touched = compare_snapshots(
+    touched = session.written(compare_snapshots(
         old.select("relative_path", "content"), new.select("relative_path", "content"),
         ignore_whitespace, ignore_case,
-    ).filter("content_changed").select("relative_path")
-    before = old.select("relative_path", F.col("content").alias("old_content"))
-    after = new.select("relative_path", F.col("content").alias("new_content"))
-    return touched.join(before, "relative_path").join(after, "relative_path").select(
+    ).filter("content_changed").select("relative_path"), "touched")
+    before = old.select("relative_path", F.col("content").alias("old_content")).join(
+        touched, "relative_path", "left_semi")
+    after = new.select("relative_path", F.col("content").alias("new_content")).join(
+        touched, "relative_path", "left_semi")
+    return before.join(after, "relative_path").select(
         "relative_path",
         diff_text(F.col("old_content"), F.col("new_content"), ignore_whitespace, ignore_case).alias("diff"))
 

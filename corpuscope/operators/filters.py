@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuscope import fixed
+from corpuscope import fixed, session
 from corpuscope.functions import globs, paths, sensitive
 
 # Alternatives per regular expression; longer rule lists become several expressions.
@@ -97,12 +97,16 @@ def saved_documents(documents: DataFrame) -> DataFrame:
 
 
 def changed_since(files: DataFrame, state: DataFrame) -> DataFrame:
-    """Drop files whose path and hash equal the previous run's."""
+    """Drop files whose path and hash equal the previous run's. Only paths and hashes are
+    compared; contents join the paths that remain."""
     before = state.select(
         F.col("relative_path").alias("_path"), F.col("content_hash").alias("_hash"))
     same = (F.col("relative_path") == F.col("_path")) & F.col("content_hash").eqNullSafe(
         F.col("_hash"))
-    return files.join(before, same, "left_anti")
+    if "content" not in files.columns:
+        return files.join(before, same, "left_anti")
+    keys = files.select("relative_path", "content_hash").join(before, same, "left_anti")
+    return selected(files, session.written(keys.select("relative_path"), "changed"))
 
 
 def valid_edges(edges: DataFrame) -> DataFrame:

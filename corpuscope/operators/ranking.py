@@ -4,28 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corpuscope import session
+
 
 def number_rows(df: DataFrame, group: str, order: str, buckets: int = 200, name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row in its ``group``, by the unique numeric ``order``.
+    """Add the 1-based position of each row in its ``group``, by the numeric ``order`` (equal
+    orders come in any order).
 
     The order values are cut into ranges at approximate quantiles, rows are numbered inside
     (group, range), and the counts of the earlier ranges are added. A group that holds most
     rows is thus spread over all ranges. The cut points only balance the work: any cut gives
-    the same numbers."""
+    the same numbers. The ranged rows are written once, so both uses see the same ranges."""
     cuts = df.agg(F.percentile_approx(
         order, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts")).first()["cuts"]
     points = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < F.col(order))
-                    ) if points else F.lit(0)
-    placed = df.withColumn("_range", bucket)
-    counts = placed.groupBy(group, "_range").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.lit(0)
+    if points:
+        bucket = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < F.col(order)))
+    ranged = session.written(df.withColumn("rank_range", bucket), "ranged")
+    counts = ranged.groupBy(group, "rank_range").agg(F.count("*").alias("rank_n"))
+    earlier = Window.partitionBy(group).orderBy("rank_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col(group).alias("_group"), F.col("_range").alias("_at"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(group, "_range").orderBy(order)
-    numbered = placed.withColumn("_inside", F.row_number().over(inside))
+        F.col(group).alias("rank_group"), F.col("rank_range").alias("rank_at"),
+        F.coalesce(F.sum("rank_n").over(earlier), F.lit(0)).alias("rank_before"))
+    inside = Window.partitionBy(group, "rank_range").orderBy(order)
+    numbered = ranged.withColumn("rank_inside", F.row_number().over(inside))
     return numbered.join(
-        offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at"))
-    ).withColumn(name, F.col("_before") + F.col("_inside")).drop(
-        "_range", "_inside", "_group", "_at", "_before")
+        offsets, F.col(group).eqNullSafe(F.col("rank_group")) & (F.col("rank_range") == F.col("rank_at"))
+    ).withColumn(name, F.col("rank_before") + F.col("rank_inside")).drop(
+        "rank_range", "rank_inside", "rank_group", "rank_at", "rank_before")

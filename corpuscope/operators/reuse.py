@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from corpuscope import session
+
 
 def split_work(files: DataFrame, stored: DataFrame) -> DataFrame:
     """One path per content that no stored analysis covers: (content_hash, relative_path).
@@ -21,7 +23,8 @@ def reuse_analysis(
     ``analyse`` maps files to ``content_hash`` and the same columns. Only new contents are
     analysed, each once however many copies there are."""
     todo = split_work(files.select("relative_path", "content_hash"), stored)
-    fresh = analyse(files.join(todo.select("relative_path"), "relative_path", "left_semi"))
+    todo = session.written(todo.select("relative_path"), "todo")
+    fresh = analyse(files.join(todo, "relative_path", "left_semi"))
     store = stored.unionByName(fresh.select(*stored.columns))
     return files.select("relative_path", "content_hash").join(store, "content_hash"), store
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuscope import fixed
+from corpuscope import fixed, session
 from corpuscope.functions import code, paths, sensitive
 from corpuscope.functions import text as tx
 from corpuscope.operators import filters
@@ -18,9 +18,10 @@ ALL_LANGUAGES = "(all)"
 
 def language_stats(files: DataFrame) -> DataFrame:
     """(language, n_files, n_bytes), with a row for the whole corpus."""
+    per_language = files.groupBy("language").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     return (
-        files.rollup("language")
-        .agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
+        per_language.rollup("language")  # over one row per language, not over the files
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_bytes"))
         .withColumn("language", F.coalesce("language", F.lit(ALL_LANGUAGES))))
 
 
@@ -149,5 +150,7 @@ def summaries_from_notes(files: DataFrame) -> DataFrame:
         "relative_path", "user_summary")
 
 
-def with_user_summaries(files: DataFrame) -> DataFrame:
-    return files.join(summaries_from_notes(files), "relative_path", "left")
+def with_user_summaries(files: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Add ``user_summary``, by default from the notes among the files themselves."""
+    notes = summaries_from_notes(files) if notes is None else notes
+    return files.join(session.written(notes, "notes"), "relative_path", "left")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuscope import session
 from corpuscope.functions import paths
 from corpuscope.functions import text as tx
 from corpuscope.operators.ranking import number_rows
@@ -16,33 +17,36 @@ def new_tag_ids(names: DataFrame, existing: DataFrame | None = None) -> DataFram
     The plain slug of every new name and every existing id is reserved; numbering passes over
     reserved ids, so ids are unique also across slugs. One slug may hold most of the names."""
     slugged = names.withColumn("_slug", tx.untrimmed_slug(F.col("name")))
-    placed = number_rows(slugged, "_slug", "created_order").withColumn("_number", F.col("position") - 1)
+    placed = number_rows(slugged, "_slug", "created_order").withColumn("_n", F.col("position") - 1)
     taken = slugged.select(F.col("_slug").alias("id"))
-    known = None
     if existing is not None:
         known = existing.select(F.col("tag_id").alias("id")).distinct()
         taken = taken.unionByName(known)
-    # Reserved numbers per slug: ids that read slug-number and belong to someone else.
-    numbered = F.regexp_extract("id", r"^([\s\S]*)-([1-9][0-9]{0,8})$", 1)
-    reserved = (
-        taken.distinct().select(
-            numbered.alias("_slug"),
-            F.regexp_extract("id", r"^([\s\S]*)-([1-9][0-9]{0,8})$", 2).try_cast("long").alias("k"))
-        .filter(F.col("k").isNotNull())
-        .join(slugged.select("_slug").distinct(), "_slug", "left_semi")
-        .groupBy("_slug").agg(F.array_sort(F.collect_set("k")).alias("_reserved")))
-    if known is not None:
         held = known.select(F.col("id").alias("_slug"), F.lit(1).alias("_held"))
-        placed = placed.join(held, "_slug", "left").withColumn(
-            "_number", F.col("_number") + F.coalesce("_held", F.lit(0))).drop("_held")
-    # The n-th free number is n plus the reserved numbers up to it.
-    skipped = F.size(F.filter(
-        F.transform("_reserved", lambda k, i: k - i), lambda free_before: free_before <= F.col("_number")))
-    number = F.col("_number") + F.when(F.col("_reserved").isNull(), 0).otherwise(skipped)
-    return placed.join(reserved, "_slug", "left").withColumn(
-        "tag_id", F.when(F.col("_number") == 0, F.col("_slug")).otherwise(
-            F.concat("_slug", F.lit("-"), number.cast("string")))
-    ).drop("_slug", "_number", "_reserved", "position")
+        placed = placed.join(held, "_slug", "left").withColumn("_n", F.col("_n") + F.coalesce("_held", F.lit(0)))
+    # Ids that read slug-number and belong to someone else, with the count of free numbers
+    # before each.
+    parts = r"^([\s\S]*)-([1-9][0-9]{0,8})$"
+    reserved = taken.distinct().select(
+        F.regexp_extract("id", parts, 1).alias("_slug"),
+        F.regexp_extract("id", parts, 2).try_cast("long").alias("k")
+    ).filter(F.col("k").isNotNull()).join(slugged.select("_slug").distinct(), "_slug", "left_semi")
+    reserved = session.written(reserved, "reserved")
+    first = placed.filter("_n = 0").select("name", "created_order", F.col("_slug").alias("tag_id"))
+    if reserved.isEmpty():
+        return first.unionByName(placed.filter("_n > 0").select("name", "created_order", _numbered(F.col("_n"))))
+    free_before = F.col("k") - (F.col("position") - 1)
+    marks = number_rows(reserved, "_slug", "k").select(
+        "_slug", (2 * free_before).alias("_at"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).alias("created_order"))
+    # The n-th free number is the place of n among the numbers n and these marks.
+    later = placed.filter("_n > 0").select("_slug", (2 * F.col("_n") + 1).alias("_at"), "name", "created_order")
+    numbered = number_rows(later.unionByName(marks), "_slug", "_at").filter("name is not null")
+    return first.unionByName(numbered.select("name", "created_order", _numbered(F.col("position"))))
+
+
+def _numbered(number: Column) -> Column:
+    return F.concat("_slug", F.lit("-"), number.cast("string")).alias("tag_id")
 
 
 def apply_tags(tags: DataFrame, requests: DataFrame) -> DataFrame:

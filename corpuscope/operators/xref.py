@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuscope import fixed
 from corpuscope.functions import code, matches, paths
@@ -31,7 +31,7 @@ def import_edges(files: DataFrame) -> DataFrame:
 def import_targets(files: DataFrame) -> DataFrame:
     """(base, target): the file that an import of ``base`` reaches. Every file offers itself
     under its full path and under its path without extension; the first extension in order
-    wins. At most five files share a base, so the group is small by construction."""
+    wins. Only the rank of the extension is aggregated: base and rank spell the path."""
     path = F.col("relative_path")
     offers = [F.struct(path.alias("base"), F.lit(fixed.IMPORT_EXTENSIONS.index("")).alias("rank"))]
     for rank, ext in enumerate(fixed.IMPORT_EXTENSIONS):
@@ -39,9 +39,11 @@ def import_targets(files: DataFrame) -> DataFrame:
             stem = F.substring(path, F.lit(1), F.length(path) - len(ext))
             offers.append(F.when(path.endswith(ext), F.struct(
                 stem.alias("base"), F.lit(rank).alias("rank"))))
+    tail = F.element_at(F.array(*[F.lit(e) for e in fixed.IMPORT_EXTENSIONS]), F.col("rank") + 1)
     return (
-        files.select("relative_path", F.inline(F.array_compact(F.array(*offers))))
-        .groupBy("base").agg(F.min_by("relative_path", "rank").alias("target")))
+        files.select(F.inline(F.array_compact(F.array(*offers))))
+        .groupBy("base").agg(F.min("rank").alias("rank"))
+        .select("base", F.concat("base", tail).alias("target")))
 
 
 def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -56,27 +58,21 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
                 "context"))
 
 
-def last_per_pair(edges: DataFrame) -> DataFrame:
-    """The last reference of every (source, target)."""
-    rest = ["type", "line", "character", "symbol", "context"]
-    return (
-        edges.groupBy("source", "target")
-        .agg(F.max_by(F.struct(*rest), F.struct("line", "character")).alias("kept"))
-        .select("source", "target", "kept.*"))
-
-
 def cross_references(edges: DataFrame) -> DataFrame:
     """Both sides of every reference as rows (relative_path, direction, other, line, character,
-    symbol, context). A file that a third of the corpus imports has that many ``referencedBy``
-    rows, never one row that holds them all."""
+    symbol, context); ``referencedBy`` has the last reference of every (source, target). A file
+    that a third of the corpus imports has that many ``referencedBy`` rows, never one row that
+    holds them all. The edges are computed once; a pair has as many rows as one text imports it."""
     where = ["line", "character", "symbol", "context"]
-    outgoing = edges.select(
-        F.col("source").alias("relative_path"), F.lit("references").alias("direction"),
-        F.col("target").alias("other"), *where)
-    incoming = last_per_pair(edges).select(
-        F.col("target").alias("relative_path"), F.lit("referencedBy").alias("direction"),
-        F.col("source").alias("other"), *where)
-    return outgoing.unionByName(incoming)
+    later = Window.partitionBy("source", "target").orderBy(F.desc("line"), F.desc("character"))
+
+    def side(path: str, direction: str, other: str) -> Column:
+        return F.struct(F.col(path).alias("relative_path"), F.lit(direction).alias("direction"),
+                        F.col(other).alias("other"), *where)
+
+    both = F.array(side("source", "references", "target"),
+                   F.when(F.col("_nth") == 1, side("target", "referencedBy", "source")))
+    return edges.withColumn("_nth", F.row_number().over(later)).select(F.inline(F.array_compact(both)))
 
 
 ARROWS = {"references": "→", "referencedBy": "←"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope import fixed, session
-from corpuscope.operators import changes, filters, rollup
+from corpuscope.operators import changes, filters, rollup, xref
 from corpuscope.options import ReportOptions
 from corpuscope.plans import sections, toc
 from corpuscope.sources import files as fl
@@ -94,13 +94,30 @@ def selected_documents(
     return filters.text_only(kept, "document")
 
 
-def document_report(documents: DataFrame, style: str = "markdown",
-                    options: ReportOptions = ReportOptions()) -> DataFrame:
-    """(part, relative_path, part_no, text): table of contents by directory, then the sections."""
+def document_report(documents: DataFrame, style: str = "markdown", options: ReportOptions = ReportOptions(),
+                    references: DataFrame | None = None) -> DataFrame:
+    """(part, relative_path, part_no, detail, text): table of contents by directory, then the
+    sections; ordered by the first four columns. With ``references`` (rows of
+    ``xref.cross_references``) and a depth that shows them, their lines follow each file: one row
+    per line, so a file that everything imports is no bigger row than any other."""
     contents = toc.toc_by_directory(
         documents, style if style in ("markdown", "html") else "text", options.enhanced_summaries)
     contents = contents.select(
         F.lit(1).alias("part"), F.concat_ws("/", "directory", "file_name").alias("relative_path"),
-        F.when(F.col("file_name") == "", 0).otherwise(1).alias("part_no"), F.col("line").alias("text"))
+        F.when(F.col("file_name") == "", 0).otherwise(1).alias("part_no"), F.lit("").alias("detail"),
+        F.col("line").alias("text"))
     body = sections.document_sections(documents, style, options)
-    return contents.unionByName(body.select(F.lit(2).alias("part"), "relative_path", "part_no", "text"))
+    report = contents.unionByName(
+        body.select(F.lit(2).alias("part"), "relative_path", "part_no", F.lit("").alias("detail"), "text"))
+    if references is None or not (options.cross_references and options.at_least("detailed")):
+        return report
+    lines = xref.reference_report(references, options.depth, style if style in ("markdown", "html") else "text")
+    at = F.format_string("%010d/%010d", "line", "character")
+    incoming = F.when(F.col("direction") == "references", "1").otherwise("2")
+    heads = references.select("relative_path", "direction").distinct().select(
+        "relative_path", F.concat(incoming, F.lit("/")).alias("detail"),
+        F.when(F.col("direction") == "references", "References:").otherwise("Referenced By:").alias("text"))
+    rows = lines.select("relative_path", F.concat_ws("/", incoming, "other", at).alias("detail"),
+                        F.col("report_line").alias("text")).unionByName(heads)
+    return report.unionByName(rows.select(
+        F.lit(2).alias("part"), "relative_path", F.lit(2**31 - 1).alias("part_no"), "detail", "text"))

@@ -8,14 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings the operators count on. Skewed join partitions are split by size while
-# the query runs, also where that costs one more shuffle; joins are broadcast only when the
-# measured size of a side is below Spark's threshold (no operator forces a broadcast).
+# the query runs, also where that costs one more shuffle. No operator hints a broadcast: Spark
+# broadcasts a side only when its size, taken from its files and counted four times for their
+# compression, or measured while the query runs, is below the threshold; any larger side is
+# shuffled.
 RUNTIME_SETTINGS = {
+    "spark.sql.sources.fileCompressionFactor": "4.0",
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Exploded arrays are costly expressions here; this rule would compute each of them a second
+    # time, in a filter on its size.
+    "spark.sql.optimizer.excludedRules":
+        "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
@@ -52,3 +60,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     many splits as there are cores, as any large one does, is returned as it is: unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder. Used for slim sets of keys before they meet a
+    table with contents: the set is computed once, its size is known when the join is planned, so
+    a small one is broadcast and no content is shuffled, and a large one is not broadcast."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpuscope import schema
+from corpuscope import schema, session
 from corpuscope.operators import changes, filters, reuse, rollup
 from corpuscope.sources import versions
 
@@ -127,10 +127,12 @@ def incremental_run(edits: DataFrame, base: str, process: Callable[[DataFrame],
     def step(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         state = _state_before(spark, f"{base}/state", batch_id, schema.STATE)
-        last = reuse.latest_versions(rows, "relative_path", "ts")
-        fresh = filters.changed_since(last, state)
+        edits_only = rows.select("relative_path", "ts", "content_hash")
+        last = reuse.latest_versions(edits_only, "relative_path", "ts")
+        fresh = session.written(filters.changed_since(last, state), "fresh")
         kinds = changes.track_changes(state, fresh).filter("change_type <> 'removed'")
-        results = process(fresh).join(kinds.select("relative_path", "change_type"), "relative_path")
+        kept = rows.join(fresh, ["relative_path", "ts", "content_hash"], "left_semi").dropDuplicates(["relative_path"])
+        results = process(kept).join(kinds.select("relative_path", "change_type"), "relative_path")
         versions.write_version(results, f"{base}/results", batch_id)
         untouched = state.join(fresh.select("relative_path"), "relative_path", "left_anti")
         versions.write_version(

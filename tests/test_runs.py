@@ -87,6 +87,16 @@ def test_document_run(make_files):
         assert toc.toc_by_directory(kept, style).count() == 2
 
 
+def test_document_run_with_references(make_files):
+    from corpuscope.operators import xref
+    files = make_files({"a.ts": "import { b } from './b';", "b.ts": "x"})
+    refs = xref.cross_references(xref.resolve_imports(xref.import_edges(files), files))
+    report = aggregate.document_report(files, "markdown", ReportOptions(depth="detailed"), refs)
+    rows = report.orderBy("part", "relative_path", "part_no", "detail").collect()
+    assert [r.text for r in rows if r.detail] == ["References:", "- → `b.ts` (b) - Line 1", "Referenced By:", "- ← `a.ts` (b) - Line 1"]
+    assert aggregate.document_report(files, "text", ReportOptions(), refs).filter("detail <> ''").count() == 0
+
+
 def test_depth_decides_what_is_computed(make_files):
     files = make_files({"a.ts": "import x from 'y'"})
     assert sections.summary_rows(files, ReportOptions(depth="minimal")).columns == ["relative_path", "purpose"]

@@ -555,8 +555,7 @@ def reuse_analysis(spark, d):
     """The analysis of the current corpus, with that of the previous one stored."""
 
     def analyse(files):
-        return files.dropDuplicates(["content_hash"]).select(
-            "content_hash", code.cyclomatic(C()).cast("long").alias("cyclomatic"))
+        return files.select("content_hash", code.cyclomatic(C()).cast("long").alias("cyclomatic")).distinct()
 
     stored = analyse(v.previous(spark, d).select("content_hash", "content"))
     return reuse.reuse_analysis(v.current(spark, d).select("relative_path", "content_hash", "content"), stored, analyse)[0]
@@ -681,7 +680,7 @@ def redact(spark, d):
 @query
 def render_markdown(spark, d):
     notes = rollup.summaries_from_notes(v.noted_files(spark, d))
-    return sections.tree_markdown(_docs(spark, d).join(notes, "relative_path", "left"))
+    return sections.tree_markdown(rollup.with_user_summaries(_docs(spark, d), notes))
 
 
 @query
