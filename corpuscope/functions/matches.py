@@ -10,6 +10,35 @@ from pyspark.sql import Column, functions as F
 from corpuscope.functions.text import let
 
 
+# Marks that texts hardly ever contain; those that do take the longer way.
+_EDGE, _PART = "\u0001", "\u0002"
+
+
+def _hits_in_one_pass(content: Column, pattern: str, groups: dict[str, int]) -> Column:
+    """Mark the matches in place and cut at the marks: one run of the expression."""
+    parts = _PART.join(f"${group}" for group in [0, *groups.values()])
+    pieces = F.split(F.regexp_replace(content, F.lit(pattern), F.lit(_EDGE + parts + _EDGE)), _EDGE, -1)
+
+    def hits(cut: Column) -> Column:
+        found = F.slice(F.sequence(F.lit(0), F.size(cut) + 1, F.lit(2)), F.lit(1), ((F.size(cut) - 1) / 2).cast("int"))
+        return F.transform(found, lambda i: let(F.split(F.get(cut, i + 1), _PART, -1), lambda part: F.struct(
+            *[F.get(part, at).alias(name) for at, name in enumerate(["matched", *groups])],
+            F.get(cut, i).alias("gap"))))
+
+    return let(pieces, hits)
+
+
+def _hits_in_two_passes(content: Column, pattern: str, groups: dict[str, int]) -> Column:
+    pieces = F.split(content, pattern, -1)
+    found = F.zip_with(
+        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), pieces,
+        lambda matched, gap: F.struct(
+            matched.alias("matched"),
+            *[F.regexp_extract(matched, pattern, group).alias(name) for name, group in groups.items()],
+            gap.alias("gap")))
+    return F.filter(found, lambda hit: hit["matched"].isNotNull())  # the last piece has no match
+
+
 def located(content: Column, pattern: str, groups: dict[str, int]) -> Column:
     """array<struct(matched, <groups...>, start, end, line, character)> of all matches of
     ``pattern``, which must not match the empty string nor look around itself (groups are
@@ -18,15 +47,9 @@ def located(content: Column, pattern: str, groups: dict[str, int]) -> Column:
     ``start``/``end`` are 0-based code point offsets (end excluded), ``line`` and ``character``
     the 0-based position of the start."""
     names = ["matched", *groups]
-
-    def with_gaps(found: Column) -> Column:
-        # The piece after the last match has no partner and is dropped.
-        both = F.zip_with(found, F.slice(F.split(content, pattern, -1), F.lit(1), F.size(found)),
-                          lambda matched, gap: F.struct(matched.alias("matched"), gap.alias("gap")))
-        none = F.array().cast("array<struct<matched:string,gap:string>>")
-        return F.when(F.size(found) > 0, both).otherwise(none)
-
-    hits = let(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), with_gaps)
+    unmarked = ~(content.contains(_EDGE) | content.contains(_PART))
+    hits = F.when(unmarked, _hits_in_one_pass(content, pattern, groups)).otherwise(
+        _hits_in_two_passes(content, pattern, groups))
     fields = ", ".join(f"{name}:string" for name in names)
     out_type = f"array<struct<{fields}, start:int, end:int, line:int, character:int>>"
 
@@ -43,9 +66,7 @@ def located(content: Column, pattern: str, groups: dict[str, int]) -> Column:
         line = acc["line"] + feeds(hit["gap"])
         character = column_after(acc["character"], hit["gap"])
         found = F.struct(
-            hit["matched"].alias("matched"),
-            *[F.regexp_extract(hit["matched"], pattern, group).alias(name)
-              for name, group in groups.items()],
+            *[hit[name].alias(name) for name in names],
             start.alias("start"), end.alias("end"),
             line.alias("line"), character.alias("character"),
         )

@@ -63,3 +63,14 @@ def test_policies(make_files, policy, kept, flagged):
 def test_unknown_policy(make_files):
     with pytest.raises(ValueError):
         filters.apply_sensitive_policy(make_files({"a": "b"}), "drop")
+
+
+def test_texts_with_the_internal_marks(make_files):
+    text = "a\x01b pwd='x\x02y' \x01\x02 pwd='z'\n pwd=\"\x01\""
+    rows = rollup.sensitive_matches(make_files({"a": text, "b": text.replace("\x01", "#").replace("\x02", "#")})).collect()
+    wanted = [(m[1], m.start(), m.end(), m.start(1)) for m in re.finditer(r"""pwd=['"]([^'"]+)['"]""", text)]
+    assert len(wanted) == 3
+    for path in "ab":
+        got = sorted((r.value, r.start, r.end, r.value_start) for r in rows if r.relative_path == path)
+        assert [g[1:] for g in sorted(got, key=lambda g: g[1])] == [w[1:] for w in wanted]
+    assert sorted(r.value for r in rows if r.relative_path == "a") == sorted(w[0] for w in wanted)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpuscope import fixed, session
 from corpuscope.functions import code, globs, paths, sensitive
 from corpuscope.functions import text as tx
-from corpuscope.operators import changes, filters, lines, reuse, rollup, snapshots, symbols, tags, xref
+from corpuscope.operators import changes, filters, lines, order, reuse, rollup, snapshots, symbols, tags, xref
 from corpuscope.options import ReportOptions
 from corpuscope.plans import sections, toc
 from corpuscope.sources import files as fl
@@ -633,7 +633,7 @@ def sensitive_summary(spark, d):
 
 @query
 def ordered_files(spark, d):
-    return _docs(spark, d).select("relative_path", "size").orderBy("relative_path")
+    return order.by_path(_docs(spark, d).select("relative_path", "size"))
 
 
 @query
@@ -641,8 +641,7 @@ def custom_order(spark, d):
     """Labelled files first, by id; the others by path."""
     ranked = v.table(spark, d, "documents").join(v.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(
         v.document_path().alias("relative_path"), F.col("doc_id").alias("rank"))
-    return _docs(spark, d).select("relative_path").join(ranked, "relative_path", "left").orderBy(
-        F.col("rank").asc_nulls_last(), "relative_path")
+    return order.by_user_order(_docs(spark, d).select("relative_path"), ranked)
 
 
 @query
