@@ -117,6 +117,18 @@ def test_key_points_and_summaries_pass_through(spark, make_files):
     assert "Key Points" not in sections.document_plaintext(files, ReportOptions(depth="minimal")).first().text
 
 
+def test_toc_shows_tags_and_key_points(make_files):
+    files = make_files({"d/a.ts": "x", "d/b.ts": "React"}).withColumn("tags", F.array(F.lit("directory/core"), F.lit("file/api"))).withColumn(
+        "ai_summary", F.lit("Sum")).withColumn("key_points", F.array(F.lit("p1"), F.lit("p2")))
+    lines = [r.line for r in toc.toc_by_directory(files, "markdown").orderBy("directory", "file_name").collect()]
+    assert lines[0] == "<details open><summary>📁 d/ *(core)*</summary>\n"
+    assert lines[1] == ("  - [a.ts](#d-a-ts) *(Source file | Tags: api)* \n    - Sum\n    <details><summary>Key Points</summary>\n\n"
+                        "      - p1\n      - p2\n    </details>")
+    text = [r.line for r in toc.toc_by_directory(files).orderBy("directory", "file_name").collect()]
+    assert text[1] == "  a.ts (Server Component)\n    Purpose: Source file\n    Summary: Sum\n    Key Points:\n      • p1\n      • p2"
+    assert "<li>p2</li>" in toc.toc_by_directory(files, "html").filter("file_name = 'b.ts'").first().line
+
+
 def test_style_dispatch(make_files):
     files = make_files({"a.ts": "x"})
     assert sections.document_sections(files, "HTML").first().text.startswith("<div")

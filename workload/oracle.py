@@ -146,7 +146,7 @@ FROM (SELECT relative_path, line_no, unnest(CASE
   FROM (SELECT relative_path, line_no, CASE WHEN cut LIKE '/%' THEN substr(cut, 2) ELSE cut END AS plain
     FROM (SELECT relative_path, line_no, rtrim(line, '/') AS cut FROM (
       SELECT relative_path, line_no, {strip('t')} AS line FROM (
-        SELECT relative_path, unnest({lines('content')}) AS t, generate_subscripts({lines('content')}, 1) AS line_no FROM files
+        SELECT relative_path, unnest({lines('content')}) AS t, CAST(generate_subscripts({lines('content')}, 1) AS INT) AS line_no FROM files
         UNION ALL SELECT relative_path, '/' || relative_path || '/', 0 FROM files
         UNION ALL SELECT relative_path, '*' || ext, -1 FROM files)
     ) WHERE line <> '' AND line NOT LIKE '#%')))""")
