@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import bpe
+from corpuscope.llm import bpe, packing
 from corpuscope.llm.common import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,8 @@ def op1_bpe(spark, d):
         sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"))
     decoded = bpe.decode(digests, vocabulary(), keep=("n_tokens", "ids_sha256"))
     return decoded.select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("text")).alias("decoded_sha256"))
+
+
+@query
+def op3_packing(spark, d):
+    return packing.pack(packing.cut(table(spark, d, "documents"), vocabulary()))
