@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import bpe, packing
+from corpuscope.llm import bpe, langid, packing
 from corpuscope.llm.common import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,11 @@ def op1_bpe(spark, d):
 @query
 def op3_packing(spark, d):
     return packing.pack(packing.cut(table(spark, d, "documents"), vocabulary()))
+
+
+@query
+def op4_language_id(spark, d):
+    rows = table(spark, d, "documents")
+    model = langid.train(rows.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(rows.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
