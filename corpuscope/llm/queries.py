@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import bpe, langid, packing
-from corpuscope.llm.common import configure, table
+from corpuscope.llm import bpe, langid, packing, substring
+from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,10 @@ def op4_language_id(spark, d):
     model = langid.train(rows.where(~langid.held_out(F.col("doc_id"))))
     found = langid.identify(rows.select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_substring_dedup(spark, d):
+    done = substring.remove(table(spark, d, "documents").select("doc_id", "text"))
+    kept = F.when(F.col("n_removed") == 0, F.array_join(words(F.col("text")), " ")).otherwise(F.col("text"))
+    return done.select("doc_id", "n_words", "n_removed", sha256(kept).alias("kept_sha256"))
