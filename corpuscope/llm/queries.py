@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import bpe, langid, packing, substring
+from corpuscope.llm import bpe, langid, packing, sharding, substring
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,9 @@ def op7_substring_dedup(spark, d):
     done = substring.remove(table(spark, d, "documents").select("doc_id", "text"))
     kept = F.when(F.col("n_removed") == 0, F.array_join(words(F.col("text")), " ")).otherwise(F.col("text"))
     return done.select("doc_id", "n_words", "n_removed", sha256(kept).alias("kept_sha256"))
+
+
+@query
+def op10_sharding(spark, d):
+    return sharding.assign(table(spark, d, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
