@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope.llm import bpe, langid, packing, sharding, substring
+from corpuscope import session
+from corpuscope.llm import bpe, langid, packing, sharding, simhash, substring
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +65,22 @@ def op7_substring_dedup(spark, d):
 def op10_sharding(spark, d):
     return sharding.assign(table(spark, d, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_fingerprints(spark, d):
+    """Both texts of a document are fingerprinted as rows of one table, told apart by ``which``."""
+    shown = simhash.edited(table(spark, d, "documents")).withColumn("row", F.monotonically_increasing_id())
+    both = shown.select("doc_id", "row", "n_chars", sha256(F.col("edited")).alias("edited_sha256"), F.explode(F.array(
+        F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
+    own = ["doc_id", "row", "n_chars", "edited_sha256", "which"]
+    prints = simhash.votes(both.select(*own[:4], "t.which", "t.text"), own, "text")
+    rows = prints.groupBy("doc_id", "row", "n_chars", "edited_sha256").agg(
+        F.max(F.when(F.col("which") == 0, F.col("bits"))).alias("bits"), F.max(F.when(F.col("which") == 1, F.col("bits"))).alias("edited_bits"))
+    slim = session.written(rows.drop("row"), "prints")
+    pairs = simhash.with_next(slim, ["doc_id", "edited_sha256"], {"bits": "next_bits"})
+    return pairs.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_text(F.col("bits")).alias("fingerprint"),
+        simhash.as_text(F.col("edited_bits")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"),
+        simhash.likeness(F.col("bits"), F.col("next_bits")).alias("near_next"))
