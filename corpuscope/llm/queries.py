@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope import session
-from corpuscope.llm import bpe, langid, packing, sharding, simhash, substring
+from corpuscope.llm import bpe, langid, packing, sharding, simhash, substring, topk
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,9 @@ def op8_fingerprints(spark, d):
         simhash.as_text(F.col("edited_bits")).alias("edited_fingerprint"),
         simhash.likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"),
         simhash.likeness(F.col("bits"), F.col("next_bits")).alias("near_next"))
+
+
+@query
+def op5_topk_search(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
