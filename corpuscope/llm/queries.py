@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope import session
-from corpuscope.llm import bpe, langid, packing, sharding, simhash, substring, topk
+from corpuscope.llm import bpe, langid, licenses, packing, sharding, simhash, substring, topk
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op8_fingerprints(spark, d):
 def op5_topk_search(spark, d):
     vectors = table(spark, d, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query
+def op9_license_scan(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
