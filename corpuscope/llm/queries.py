@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope import session
-from corpuscope.llm import bpe, langid, licenses, packing, sharding, simhash, substring, topk
+from corpuscope.llm import bpe, jaccard, langid, licenses, packing, sharding, simhash, substring, topk
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +96,9 @@ def op5_topk_search(spark, d):
 @query
 def op9_license_scan(spark, d):
     return licenses.scan(table(spark, d, "documents"))
+
+
+@query
+def op6_jaccard_join(spark, d):
+    found = jaccard.linked(table(spark, d, "documents"), n=3, threshold=Fraction(9, 10))
+    return found.select("doc_id", "n_shingles", "component_id")
