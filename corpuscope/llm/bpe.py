@@ -17,6 +17,7 @@ an empty result."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 WORD_BREAK = r"(?U)(?<=\S)(?=\x20\S)|(?<=\S\n)(?=\S)"
+# Fixed value: how byte-level vocabularies of this kind break a text before the merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_WORD = 500  # characters
 CACHED_WORDS = 400_000  # words a worker keeps between batches; more only means encoding them again
 
 _TOKENIZERS: dict[str, object] = {}
-_CACHES: dict[str, dict[str, np.ndarray]] = {}
+_RANKS: dict[str, tuple | None] = {}
+_CACHES: dict[str, dict[str, bytes]] = {}
 _PIECES: dict[str, pa.Array] = {}
 
 
@@ -51,15 +56,56 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def word_ids(distinct: list[str], path: str) -> list[np.ndarray]:
+def ranks(path: str):
+    """The same vocabulary as ranks, which encode a joined text of many words several times faster;
+    None unless the merges are in the order of their ids, as ranks take them to be."""
+    if path not in _RANKS:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
+        vocabulary = model["model"]["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+        made = [vocabulary[a + b] for a, b in merges]
+        plain = model.get("normalizer") is None and not model["pre_tokenizer"].get("add_prefix_space") and len(special) == 1
+        found = None
+        if plain and made == sorted(made) and len(made) + 256 + len(special) == len(vocabulary.keys() | special.keys()):
+            bytes_of = byte_map()
+            table = {bytes(bytes_of[c] for c in piece): at for piece, at in vocabulary.items() if piece not in special}
+            found = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens=special), *special.items()
+        _RANKS[path] = found
+    return _RANKS[path]
+
+
+def encoded_words(new: list[str], path: str) -> list[bytes]:
+    """The ids of words, as 32-bit integers. The special token parts the words of a joined text; words that
+    hold it, or are very long, are encoded one by one."""
+    found = ranks(path)
+    out: list[bytes] = [b""] * len(new)
+    short = [] if found is None else [i for i, word in enumerate(new) if len(word) <= LONG_WORD and found[1][0] not in word]
+    if short:
+        encoding, (mark, mark_id) = found
+        ids = encoding.encode_to_numpy(mark.join([new[i] for i in short]), allowed_special={mark}).astype("<u4", copy=False)
+        cuts = np.flatnonzero(ids == mark_id)
+        data = ids.tobytes()
+        for i, a, b in zip(short, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True):
+            out[i] = data[a:b]
+    done = set(short)
+    rest = [i for i in range(len(new)) if i not in done]
+    for i, x in zip(rest, tokenizer(path).encode_batch_fast([new[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = np.array(x.ids, "<u4").tobytes()
+    return out
+
+
+def word_ids(distinct: list[str], path: str) -> list[bytes]:
     """The ids of each of some distinct words; words seen in earlier batches come from the cache."""
     cache = _CACHES.setdefault(path, {})
     new = [word for word in distinct if word not in cache]
     if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
         new = distinct
-    encoded = tokenizer(path).encode_batch_fast(new, add_special_tokens=False)
-    cache.update((word, np.array(x.ids, np.int32)) for word, x in zip(new, encoded, strict=True))
+    cache.update(zip(new, encoded_words(new, path), strict=True))
     return [cache[word] for word in distinct]
 
 
@@ -70,12 +116,13 @@ def batch_ids(lists: pa.ListArray, path: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(coded):
         return np.zeros(len(lists) + 1, np.int64), np.empty(0, np.int32)
     table = word_ids(coded.dictionary.to_pylist(), path)
-    sizes = np.fromiter(map(len, table), np.int64, len(table))
-    ids_of_words = np.concatenate(table)
+    sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+    ids_of_words = np.frombuffer(b"".join(table), "<i4")
     starts = np.cumsum(sizes) - sizes
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(sizes[codes])])
-    positions = np.repeat(starts[codes] - ends[:-1], sizes[codes])
+    sizes = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    positions = np.repeat(starts[codes] - ends[:-1], sizes)
     positions += np.arange(len(positions))
     return ends[starts_of_rows], ids_of_words[positions]
 
@@ -97,12 +144,17 @@ def encode(df: DataFrame, path: str, text: str = "text", keys: tuple[str, ...] =
     return df.select(*keys, words(F.col(text)).alias("__words")).mapInArrow(run, schema)
 
 
+def byte_map() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
 def pieces(path: str) -> pa.Array:
     """The bytes of every id of a byte-level vocabulary, at the place of the id."""
     if path not in _PIECES:
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+        byte_of = byte_map()
         vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
         table = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for piece, at in vocabulary.items():
