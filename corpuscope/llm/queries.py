@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope import session
-from corpuscope.llm import bpe, jaccard, langid, licenses, packing, sharding, simhash, substring, topk
+from corpuscope.llm import bpe, jaccard, langid, licenses, packing, sharding, simhash, substring, suffix, topk
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,9 @@ def op9_license_scan(spark, d):
 def op6_jaccard_join(spark, d):
     found = jaccard.linked(table(spark, d, "documents"), n=3, threshold=Fraction(9, 10))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op2_suffix_dedup(spark, d):
+    done = suffix.remove(table(spark, d, "documents"), keep="none")
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
