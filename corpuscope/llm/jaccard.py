@@ -30,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuscope import session
 from corpuscope.llm import common, graph, windows as w
@@ -156,7 +156,8 @@ def _fits(a: str, b: str, t: Fraction) -> Column:
 
 
 def linked(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, digest (xxhash64 of the text), n_shingles, component_id (the smallest id reachable by links) per row."""
+    """key, digest (xxhash64 of the text), n_shingles, component_id (the smallest id reachable by links) per row, and
+    whether the row ``stands`` for its component."""
     t = Fraction(threshold).limit_denominator(1000)
     if not 0 < t <= 1 or n < 1:
         raise ValueError("the threshold is above 0 and at most 1, n at least 1")
@@ -211,9 +212,20 @@ def linked(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text
     whole = graph.components(edges.unionByName(more)).withColumnRenamed("node", "no")
     # Ids: classes to components, rows to classes.
     placed = classes.join(whole, "no", "left").withColumn("component", F.coalesce("component", "no"))
-    lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.join(lowest, "component").select("size", "d1", "d2", "component_id")
+    lowest = placed.groupBy("component").agg(F.min(F.struct("first", "digest")).alias("low"))
+    named = placed.join(lowest, "component").select("size", "d1", "d2", F.col("low.first").alias("component_id"), F.col("low.digest").alias("low_digest"))
     known_rows = rows.join(named, ["size", "d1", "d2"], "left")
     shown = [F.when(F.col(c) != LAST, F.col(c)) for c in ("id", "component_id")]
-    return known_rows.withColumn("component_id", F.coalesce("component_id", "id")).select(
-        shown[0].alias(key), "digest", F.col("size").alias("n_shingles"), shown[1].alias("component_id"))
+    stands = F.col("low_digest").isNull() | ((F.col("id") == F.col("component_id")) & (F.col("digest") == F.col("low_digest")))
+    return known_rows.withColumn("stands", stands).withColumn("component_id", F.coalesce("component_id", "id")).select(
+        shown[0].alias(key), "digest", F.col("size").alias("n_shingles"), shown[1].alias("component_id"), "stands")
+
+
+def one_of_each(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` without those linked to one that stays: of each component the row with the smallest id stays
+    (of rows with that id, the one with the smallest digest of its text, and of equal ones any). Rows with an empty set stay."""
+    found = linked(df, n, threshold, text, key).where("stands")
+    stay = session.written(found.select(_id(key).alias("__id"), F.col("digest").alias("__digest"), (F.col("n_shingles") > 0).alias("__once")).distinct(), "stay")
+    rows = df.withColumns({"__id": _id(key), "__digest": _digest(text)}).join(stay.hint("merge"), ["__id", "__digest"])
+    number = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(1)))
+    return rows.withColumn("__no", number).where(~F.col("__once") | (F.col("__no") == 1)).drop("__id", "__digest", "__once", "__no")
