@@ -91,8 +91,9 @@ def repeated(df: DataFrame, window: int = 50, text: str = "text", key: str = "do
     if window < 2:
         raise ValueError("a window has two words or more")
     short = -(-window // 2)
-    docs = df.select(_id(key).alias("id"), _digest(text).alias("digest"), common.words(F.col(text)).alias("words"))
-    every = session.written(_stretches(docs, window, short), "stretches")
+    docs = df.select(_id(key).alias("id"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    split = common.words(F.col("text")).alias("words")
+    every = session.written(_stretches(docs.select("id", "digest", split), window, short), "stretches")
     # 1. Short windows in two documents.
     anchors = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     alive = session.written(every.join(anchors.select("anchor"), "anchor"), "alive")
@@ -104,7 +105,8 @@ def repeated(df: DataFrame, window: int = 50, text: str = "text", key: str = "do
     several = shapes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     first = alive.join(shapes.join(several, "anchor").select("anchor", "content", "first"), ["anchor", "content"]).where("id = first")
     parts = first.groupBy("id", "digest").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("parts"))
-    taken = docs.join(session.written(parts, "parts"), ["id", "digest"])
+    # Texts meet by a shuffle at every size, and are split into words only then.
+    taken = docs.join(session.written(parts, "parts").hint("merge"), ["id", "digest"]).select("id", "digest", "parts", split)
     each = session.written(_windows(taken, window), "windows")
     lowest = each.groupBy("anchor", "window").agg(F.min("id").alias("first"))
     single = each.join(lowest, ["anchor", "window"]).where("id > first").select(
@@ -127,7 +129,7 @@ def remove(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_
     """The rows with their ``text`` after the removal (kept words joined by one blank where words were removed,
     else as it was), ``n_words``, ``n_removed`` and the removed ``spans`` of words."""
     ranges = session.written(repeated(df, window, text, key).withColumnsRenamed({"id": "__id", "digest": "__digest", "ranges": "__ranges"}), "ranges")
-    marked = df.withColumns({"__id": _id(key), "__digest": _digest(text)}).join(ranges, ["__id", "__digest"], "left")
+    marked = df.withColumns({"__id": _id(key), "__digest": _digest(text)}).join(ranges.hint("merge"), ["__id", "__digest"], "left")
 
     @F.arrow_udf(RESULT)
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
