@@ -31,7 +31,7 @@ from corpuscope.llm import common
 
 HALVES = 2          # longs of 64 bits in a fingerprint
 MAX_WEIGHT = 15
-RUN = 65_535 // MAX_WEIGHT
+RUN = 32_767 // MAX_WEIGHT  # so that the highest lane leaves the sign of its long alone
 LANES = (1 << 48) | (1 << 32) | (1 << 16) | 1
 MAX_BUCKETS = 10_000
 BUCKET_ROWS = 20_000
@@ -52,7 +52,7 @@ def votes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     lanes = [F.sum(F.shiftrightunsigned(F.col(f"__t.h{half}"), shift).bitwiseAND(F.lit(LANES)) * F.col("__t.weight")).alias(f"__s{half}_{shift}")
              for half in range(HALVES) for shift in range(16)]
     sums = each.groupBy(*keys, run).agg(F.sum("__t.weight").alias("__weight"), *lanes)
-    # A lane holds at most RUN * MAX_WEIGHT, below 2**16. Bit ``shift + 16 * lane`` is in lane ``lane``.
+    # A lane holds at most RUN * MAX_WEIGHT, below 2**15. Bit ``shift + 16 * lane`` is in lane ``lane``.
     counts = [F.sum(F.shiftrightunsigned(F.col(f"__s{half}_{bit % 16}"), bit // 16 * 16).bitwiseAND(F.lit(0xFFFF))).alias(f"__c{half}_{bit}")
               for half in range(HALVES) for bit in range(64)]
     totals = sums.groupBy(*keys).agg(F.sum("__weight").alias("__weight"), *counts)

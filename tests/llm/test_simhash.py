@@ -49,6 +49,13 @@ def test_query_against_brute_force(spark):
         assert (r.near_edited, r.near_next) == pytest.approx((near(prints[key], e), near(prints[key], prints[after])))
 
 
+def test_one_term_all_over(spark):
+    texts = [" ".join([f"term{n}longer"] * 20_000) for n in range(4)]
+    rows = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    table = hashes(spark, {t for text in texts for t in set(terms_of(text))})
+    assert {r.doc_id: r.fingerprint for r in rows} == {k: brute(t, table) for k, t in enumerate(texts)}
+
+
 def test_defined_cases(spark, monkeypatch):
     long = " ".join(f"w{i % 5000}" for i in range(30_000))
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "one", 3), (3, "one", 3), (None, "x y z", 4), (5, long, 5)],
