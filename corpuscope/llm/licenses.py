@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpuscope import session
+
 MAX_SHINGLES = 200_000
 SHINGLE = 5
 
@@ -95,8 +97,10 @@ def scan(df: DataFrame, notices: DataFrame | None = None, containment: float = 0
     cuts = [_cut(F.col("__h"), m) for m in sorted(size["classes"])]
     windows = rows.select(key, "__row", F.explode(F.concat(*cuts)).alias("w")).select(key, "__row", "w.*")
     banded = windows.withColumn("s", F.explode(_signature(F.col("window"), bands))).select("*", "s.*").drop("s")
-    wanted = known.select("template_id", "license", "own", "m", F.explode(_signature(F.col("own"), bands)).alias("s")).select(
-        "template_id", "license", "own", "m", "s.*")
+    # Written, so that the size is known when the join is planned: bounded templates go to the windows, not the
+    # windows to them.
+    wanted = session.written(known.select("template_id", "license", "own", "m", F.explode(_signature(F.col("own"), bands)).alias("s")).select(
+        "template_id", "license", "own", "m", "s.*"), "templates")
     share = F.size(F.array_intersect("own", "window")) / F.size("own")
     met = banded.join(wanted, ["m", "band", "band_key"]).withColumn("containment", share).where(F.col("containment") >= containment)
     best = met.groupBy(key, "__row", "license").agg(F.max(F.struct(
