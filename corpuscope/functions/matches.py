@@ -1,84 +1,47 @@
 """Pattern matches with their position, computed inside the row.
 
 A text is cut into the pieces between matches; the position of a match is the running sum of
-the lengths before it. Nothing is shuffled, and the work is linear in the text."""
+the lengths before it. Nothing is shuffled, every text takes the same path, and the work is linear in
+the text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corpuscope.functions.text import let
-
-
-# Marks that texts hardly ever contain; those that do take the longer way.
-_EDGE, _PART = "\u0001", "\u0002"
-
-
-def _hits_in_one_pass(content: Column, pattern: str, groups: dict[str, int]) -> Column:
-    """Mark the matches in place and cut at the marks: one run of the expression."""
-    parts = _PART.join(f"${group}" for group in [0, *groups.values()])
-    pieces = F.split(F.regexp_replace(content, F.lit(pattern), F.lit(_EDGE + parts + _EDGE)), _EDGE, -1)
-
-    def hits(cut: Column) -> Column:
-        found = F.slice(F.sequence(F.lit(0), F.size(cut) + 1, F.lit(2)), F.lit(1), ((F.size(cut) - 1) / 2).cast("int"))
-        return F.transform(found, lambda i: let(F.split(F.get(cut, i + 1), _PART, -1), lambda part: F.struct(
-            *[F.get(part, at).alias(name) for at, name in enumerate(["matched", *groups])],
-            F.get(cut, i).alias("gap"))))
-
-    return let(pieces, hits)
-
-
-def _hits_in_two_passes(content: Column, pattern: str, groups: dict[str, int]) -> Column:
-    pieces = F.split(content, pattern, -1)
-    found = F.zip_with(
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), pieces,
-        lambda matched, gap: F.struct(
-            matched.alias("matched"),
-            *[F.regexp_extract(matched, pattern, group).alias(name) for name, group in groups.items()],
-            gap.alias("gap")))
-    return F.filter(found, lambda hit: hit["matched"].isNotNull())  # the last piece has no match
+from corpuscope.functions.text import scan
 
 
 def located(content: Column, pattern: str, groups: dict[str, int]) -> Column:
     """array<struct(matched, <groups...>, start, end, line, character)> of all matches of
-    ``pattern``, which must not match the empty string nor look around itself (groups are
-    read from the matched text alone).
+    ``pattern``, which must not match the empty string. Groups are taken where the pattern matched, so it
+    may look around itself; a group without a match is empty.
 
     ``start``/``end`` are 0-based code point offsets (end excluded), ``line`` and ``character``
     the 0-based position of the start."""
     names = ["matched", *groups]
-    unmarked = ~(content.contains(_EDGE) | content.contains(_PART))
-    hits = F.when(unmarked, _hits_in_one_pass(content, pattern, groups)).otherwise(
-        _hits_in_two_passes(content, pattern, groups))
-    fields = ", ".join(f"{name}:string" for name in names)
-    out_type = f"array<struct<{fields}, start:int, end:int, line:int, character:int>>"
+    found = [F.regexp_extract_all(content, F.lit(pattern), F.lit(group)).alias(name)
+             for name, group in zip(names, [0, *groups.values()], strict=True)]
+    gaps = F.split(content, pattern, -1).alias("gap")
+    # The piece after the last match belongs to none.
+    hits = F.filter(F.arrays_zip(*found, gaps), lambda hit: hit["matched"].isNotNull())
+    state_type = "struct<at:int, line:int, character:int>"
 
     def feeds(text: Column) -> Column:
-        return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("int")
+        return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
     def column_after(before: Column, text: Column) -> Column:
         tail = F.length(F.substring_index(text, "\n", -1))
         return F.when(F.contains(text, F.lit("\n")), tail).otherwise(before + F.length(text))
 
-    def step(acc: Column, hit: Column) -> Column:
-        start = acc["at"] + F.length(hit["gap"])
-        end = start + F.length(hit["matched"])
-        line = acc["line"] + feeds(hit["gap"])
-        character = column_after(acc["character"], hit["gap"])
-        found = F.struct(
-            *[hit[name].alias(name) for name in names],
-            start.alias("start"), end.alias("end"),
-            line.alias("line"), character.alias("character"),
-        )
-        return F.struct(
-            end.alias("at"),
-            (line + feeds(hit["matched"])).alias("line"),
-            column_after(character, hit["matched"]).alias("character"),
-            F.concat(acc["out"], F.array(found)).cast(out_type).alias("out"),
-        )
+    def over(state: Column, text: Column) -> Column:
+        return F.struct((state["at"] + F.length(text)).alias("at"), (state["line"] + feeds(text)).alias("line"),
+                        column_after(state["character"], text).alias("character"))
+
+    def emit(state: Column, hit: Column) -> Column:
+        start = over(state, hit["gap"])
+        return F.struct(*[hit[name].alias(name) for name in names], start["at"].alias("start"),
+                        (start["at"] + F.length(hit["matched"])).alias("end"),
+                        start["line"].alias("line"), start["character"].alias("character"))
 
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(0).alias("character"),
-        F.array().cast(out_type).alias("out"),
-    )
-    return F.aggregate(hits, zero, step, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(0).alias("character"))
+    return scan(hits, zero, state_type, lambda state, hit: over(over(state, hit["gap"]), hit["matched"]), emit)

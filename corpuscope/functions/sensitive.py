@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from corpuscope.functions import matches
 from corpuscope.functions import text as tx
@@ -28,8 +28,17 @@ class SensitivePattern:
 
     @property
     def regex(self) -> str:
+        if not self.before and not self.after:  # the whole match is the value; groups keep their numbers
+            return f"{self.flags}{self.value}"
         return f"{self.flags}({self.before})({self.value})({self.after})"
 
+    @property
+    def groups(self) -> dict[str, int]:
+        """The groups of the value and of the text before it, if any."""
+        if not self.before and not self.after:
+            return {"value": 0}
+        return {"before": 1, "value": 2 + re.compile(self.before).groups}
+
 
 # The built-in patterns.
 _QUOTED = r"""['"]?\s*[:=]\s*['"]"""
@@ -51,41 +60,48 @@ BUILT_IN_PATTERNS = [
 ]
 
 
+def _problem(expression: str) -> str | None:
+    """What the engine that runs the patterns has against an expression."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("custom patterns are compiled by Spark's engine, which needs an active session")
+    try:
+        compiled = spark._jvm.java.util.regex.Pattern.compile(f"(?iu){expression}")
+    except Exception as problem:
+        return str(getattr(problem, "java_exception", problem)).splitlines()[0]
+    for probe in ("", "a", " a.", "_1\n-b"):
+        matcher = compiled.matcher(probe)
+        while matcher.find():
+            if matcher.start() == matcher.end():
+                return "matches the empty string"
+    return None
+
+
 def custom_patterns(expressions: Iterable[str]) -> list[SensitivePattern]:
-    """User expressions; the whole match is the value. An expression that is invalid or that
+    """User expressions; the whole match is the value. An expression that the engine refuses or that
     matches the empty string is reported and left out."""
     valid = []
     for expression in expressions:
-        try:
-            if re.compile(expression).match(""):
-                raise re.error("matches the empty string")
-        except re.error as problem:
+        if problem := _problem(expression):
             warnings.warn(f"invalid custom pattern {expression!r}: {problem}", stacklevel=2)
             continue
-        valid.append(SensitivePattern(expression, "", f"{expression}", ""))
+        valid.append(SensitivePattern(expression, "", f"{expression}", "", "(?iu)"))
     return valid
 
 
-def _group_of(pattern: SensitivePattern, part: str) -> int:
-    inner = {"before": 0, "value": 0, "after": 0}
-    for name in inner:
-        inner[name] = re.compile(getattr(pattern, name)).groups
-    value_at = 2 + inner["before"]
-    return {"before": 1, "value": value_at, "after": value_at + 1 + inner["value"]}[part]
-
-
 MATCH_TYPE = (
     "array<struct<pattern_name:string, matched:string, value:string, start:int, end:int, "
     "value_start:int>>"
 )
 
 
-def _named(pattern_name: str):
+def _named(pattern: SensitivePattern):
     def row(hit: Column) -> Column:
+        before = F.length(hit["before"]) if "before" in pattern.groups else F.lit(0)
         return F.struct(
-            F.lit(pattern_name).alias("pattern_name"), hit["matched"].alias("matched"),
+            F.lit(pattern.name).alias("pattern_name"), hit["matched"].alias("matched"),
             hit["value"].alias("value"), hit["start"].alias("start"), hit["end"].alias("end"),
-            (hit["start"] + F.length(hit["before"])).cast("int").alias("value_start"),
+            (hit["start"] + before).cast("int").alias("value_start"),
         )
 
     return row
@@ -108,10 +124,9 @@ def found(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT_IN
     """All matches of all patterns, in pattern order."""
     per_pattern = []
     for pattern in patterns:
-        groups = {"before": _group_of(pattern, "before"), "value": _group_of(pattern, "value")}
-        hits = matches.located(content, pattern.regex, groups)
+        hits = matches.located(content, pattern.regex, pattern.groups)
         per_pattern.append(F.when(
-            _possible(content, pattern), F.transform(hits, _named(pattern.name)).cast(MATCH_TYPE)
+            _possible(content, pattern), F.transform(hits, _named(pattern)).cast(MATCH_TYPE)
         ).otherwise(F.array().cast(MATCH_TYPE)))
     return F.concat(*per_pattern) if per_pattern else F.array().cast(MATCH_TYPE)
 
@@ -130,17 +145,29 @@ def redacted(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT
         h["value_start"].alias("start"),
         (h["value_start"] + F.length(h["value"])).cast("int").alias("end"))))
 
-    def step(acc: Column, span: Column) -> Column:
-        start = F.greatest(span["start"], acc["at"])
-        grown = F.concat(acc["out"], F.array(
-            F.substring(content, acc["at"] + 1, start - acc["at"]),
-            F.repeat(F.lit("*"), span["end"] - start)))
-        return F.when(span["end"] <= acc["at"], acc).otherwise(
-            F.struct(span["end"].alias("at"), grown.alias("out")))
+    def piece(base: Column, region: Column):
+        """The text from where the last span ended, and the masked rest of this one. Taken from the region of a run
+        of spans, as a position in a long text has to be counted from its beginning."""
+        def emit(at: Column, span: Column) -> Column:
+            start = F.greatest(span["start"], at)
+            return F.concat(F.substring(region, at - base + 1, start - at), F.repeat(F.lit("*"), F.greatest(span["end"] - start, F.lit(0))))
+        return emit
+
+    def reached(at: Column, span: Column) -> Column:
+        return F.greatest(at, span["end"])
+
+    def masked_run(acc: Column, run: Column) -> Column:
+        end = F.aggregate(run, acc["at"], reached)
+        region = F.substring(content, acc["at"] + 1, end - acc["at"])
+        text = tx.let(region, lambda cut: F.array_join(
+            tx.scan(run, acc["at"], "int", reached, piece(acc["at"], cut)), ""))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(text)).cast("array<string>").alias("out"))
 
     def masked(found_spans: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(found_spans) - 1, F.lit(tx.SCAN_RUN)),
+                           lambda at: F.slice(found_spans, at + 1, F.lit(tx.SCAN_RUN)))
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        rebuilt = F.aggregate(found_spans, zero, step, lambda acc: F.concat(
+        rebuilt = F.aggregate(runs, zero, masked_run, lambda acc: F.concat(
             F.array_join(acc["out"], ""), F.substring(content, acc["at"] + 1, F.length(content))))
         return F.when(F.size(found_spans) > 0, rebuilt).otherwise(content)
 

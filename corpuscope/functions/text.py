@@ -15,6 +15,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+SCAN_RUN = 64
+
+
+def scan(items: Column, zero: Column, state_type: str, advance: Callable[[Column, Column], Column],
+         emit: Callable[[Column, Column], Column]) -> Column:
+    """``emit(state, item)`` of every item of an array, in order, where ``advance`` carries the state on.
+
+    An array that grows element by element is copied each time, so the items are taken in runs: the
+    states at the starts of the runs first, then those inside each run. Only states are copied, and
+    up to some ten thousand items the copies grow with the items alone."""
+    states = f"array<{state_type}>"
+
+    def cut(values: Column) -> Column:
+        last = F.greatest(F.size(values) - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last, F.lit(SCAN_RUN)), lambda at: F.slice(values, at + 1, F.lit(SCAN_RUN)))
+
+    def before_each(steps: Column, start: Column, go: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(
+            steps, F.struct(start.cast(state_type).alias("state"), F.array().cast(states).alias("out")),
+            lambda acc, step: F.struct(
+                go(acc["state"], step).cast(state_type).alias("state"),
+                F.concat(acc["out"], F.array(acc["state"])).cast(states).alias("out")),
+            lambda acc: acc["out"])
+
+    def of_run(run: Column, start: Column) -> Column:
+        return F.zip_with(run, before_each(run, start, advance), lambda item, state: emit(state, item))
+
+    def whole_run(state: Column, run: Column) -> Column:
+        return F.aggregate(run, state, lambda at, item: advance(at, item).cast(state_type))
+
+    return let(let(items, cut), lambda runs: F.flatten(F.zip_with(runs, before_each(runs, zero, whole_run), of_run)))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

@@ -19,7 +19,7 @@ def lines(files: DataFrame, dialect: str = "document") -> DataFrame:
 
 def search_regex(files: DataFrame, expression: str) -> DataFrame:
     """Every line that matches, in any case."""
-    return lines(files).filter(F.col("text").rlike(f"(?i){expression}"))
+    return lines(files).filter(F.col("text").rlike(f"(?iu){expression}"))
 
 
 def search_substring(files: DataFrame, query: str) -> DataFrame:

@@ -33,10 +33,16 @@ def test_overlapping_hits_mask_their_union(spark):
     assert rows.select(sensitive.redacted(F.col("c"), patterns)).first()[0] == "--******--**-****"
 
 
-def test_invalid_custom_patterns_are_reported():
+def test_invalid_custom_patterns_are_reported(spark):
     with pytest.warns(UserWarning) as seen:
-        kept = sensitive.custom_patterns(["ok(a|b)", "(", "x*"])
-    assert [p.name for p in kept] == ["ok(a|b)"] and len(seen) == 2
+        kept = sensitive.custom_patterns(["ok(a|b)", "(", "x*", "(?P<k>tok)en", r"\b"])
+    assert [p.name for p in kept] == ["ok(a|b)"] and len(seen) == 4
+
+
+def test_custom_patterns_may_look_around_and_refer_back(spark):
+    patterns = sensitive.custom_patterns(["(?<=X)b", r"(\w)\1-", "école"])
+    rows = spark.createDataFrame([("Xb Xb",), ("Xb Xb\x01\x02",), ("aa-ab-ÉCOLE",)], "c string")
+    assert [r[0] for r in rows.select(sensitive.redacted(F.col("c"), patterns)).collect()] == ["X* X*", "X* X*\x01\x02", "***ab-*****"]
 
 
 def test_custom_pattern_value_is_the_whole_match(make_files):
@@ -52,6 +58,18 @@ def test_many_matches(spark):
     assert row.n == 3000 and row.m == re.sub(r"'(s+)'", lambda m: "'" + "*" * len(m[1]) + "'", text)
 
 
+def test_time_grows_with_the_matches(spark):
+    """64,000 matches in one text."""
+    import time
+
+    text = "é pwd='x' " * 64_000
+    df = spark.createDataFrame([(text,)], "c string")
+    start = time.time()
+    row = df.select(F.size(sensitive.found(F.col("c"))).alias("n"), sensitive.redacted(F.col("c")).alias("m")).first()
+    assert row.n == 64_000 and row.m == text.replace("'x'", "'*'")
+    assert time.time() - start < 60
+
+
 @pytest.mark.parametrize("policy,kept,flagged", [("warn", 2, 1), ("redact", 2, 0), ("skip", 1, 0), ("ignore", 2, 0)])
 def test_policies(make_files, policy, kept, flagged):
     out = filters.apply_sensitive_policy(make_files({"a": "pwd='x'", "b": "y"}), policy).collect()
