@@ -58,9 +58,11 @@ def _fingerprint(files: DataFrame, ignore_whitespace: bool, ignore_case: bool, s
     fields = [f for f in ANALYSIS_FIELDS if f in files.columns]
     analysis_key = F.lit(None).cast("string")
     if fields:
-        arrays = F.to_json(F.struct(*[F.coalesce(F.col(f), F.array().cast("array<string>")).alias(f)
+        arrays = F.to_json(F.struct(*[F.coalesce(F.col(f), F.array().cast(files.schema[f].dataType)).alias(f)
                                       for f in fields]))
-        present = F.coalesce(*[F.col(f) for f in fields]).isNotNull()
+        present = F.lit(False)
+        for f in fields:
+            present = present | F.col(f).isNotNull()
         analysis_key = F.when(present, F.sha2(arrays, 256))
     return files.select(
         "relative_path", text_key.alias(f"{side}_text"), analysis_key.alias(f"{side}_analysis"),

@@ -152,7 +152,9 @@ def report_chunk_array(content: Column, size: int) -> Column:
     renumbered = F.transform(cut, lambda c, i: F.struct(
         (i + 1).alias("chunk_no"), c["start_line"].alias("start_line"),
         c["end_line"].alias("end_line"), c["content"].alias("content"))).cast(_CHUNK)
-    return F.when(F.length(content) < size, report_chunk_array(content, 0)).otherwise(renumbered)
+    # A text with nothing but blank chunks is one part, so its file stays in the report.
+    whole = (F.length(content) < size) | (F.size(cut) == 0)
+    return F.when(whole, report_chunk_array(content, 0)).otherwise(renumbered)
 
 
 def word_counts(files: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def directory_totals(files: DataFrame) -> DataFrame:
 
 
 def generated_purpose() -> Column:
-    kind = F.concat_ws(" ", F.substring("main_ext", 2, 1000), F.lit("files"))
+    kind = F.concat_ws(" ", F.substring("main_ext", F.lit(2), F.length("main_ext")), F.lit("files"))
     text = F.concat(F.lit("Directory containing "), F.col("num_files").cast("string"), F.lit(" "), kind)
     more = F.when(F.col("num_dirs") > 0, F.concat(
         F.lit(" and "), F.col("num_dirs").cast("string"), F.lit(" subdirectories"))).otherwise("")

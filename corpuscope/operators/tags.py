@@ -25,8 +25,8 @@ def new_tag_ids(names: DataFrame, existing: DataFrame | None = None) -> DataFram
         held = known.select(F.col("id").alias("_slug"), F.lit(1).alias("_held"))
         placed = placed.join(held, "_slug", "left").withColumn("_n", F.col("_n") + F.coalesce("_held", F.lit(0)))
     # Ids that read slug-number and belong to someone else, with the count of free numbers
-    # before each.
-    parts = r"^([\s\S]*)-([1-9][0-9]{0,8})$"
+    # before each. No count of tags has more than 18 digits.
+    parts = r"^([\s\S]*)-([1-9][0-9]{0,17})$"
     reserved = taken.distinct().select(
         F.regexp_extract("id", parts, 1).alias("_slug"),
         F.regexp_extract("id", parts, 2).try_cast("long").alias("k")

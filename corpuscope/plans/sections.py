@@ -48,12 +48,17 @@ def _with_analysis(files: DataFrame) -> DataFrame:
         "_imports", sy.import_array(F.col("scan.imports"))).drop("scan", "symbols")
 
 
+def _or_whole(chunks: Column) -> Column:
+    """The chunks; for an empty file, which has none, one empty part."""
+    return F.when(F.size(chunks) > 0, chunks).otherwise(ln.report_chunk_array(F.col("content"), 0))
+
+
 def _tree_parts(files: DataFrame, budget: int) -> DataFrame:
     """One row per part. Texts over the line threshold are cut by lines, others by characters."""
     files = files.withColumn("_by_lines", ln.line_chunk_array(
         F.col("content"), threshold=fixed.LINE_CHUNK_THRESHOLD))
     chunks = F.when(F.size("_by_lines") > 0, F.col("_by_lines")).otherwise(
-        ln.char_chunk_array(F.col("content"), budget))
+        _or_whole(ln.char_chunk_array(F.col("content"), budget)))
     note = F.when(F.size("_by_lines") > 0, F.format_string("File split into %d chunks", F.size("_by_lines")))
     return (
         files.withColumn("_chunk_note", note).withColumn("_chunks", chunks).drop("_by_lines", "content")
@@ -105,7 +110,7 @@ def tree_markdown(files: DataFrame, budget: int = fixed.CHAR_CHUNK_SIZE) -> Data
 
 def file_id(path: Column) -> Column:
     """A stable id of a path for links."""
-    return joined("file_", F.substring(F.sha2(path.cast("binary"), 256), 1, 16))
+    return joined("file_", F.sha2(path.cast("binary"), 256))
 
 
 def tree_html(files: DataFrame, extra_spacing: bool = True) -> DataFrame:

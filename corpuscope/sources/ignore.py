@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuscope import fixed
 from corpuscope.functions import globs
 from corpuscope.functions import text as tx
 
@@ -37,14 +36,11 @@ def rules_from_lines(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _ignore_text(spark: SparkSession, root: str, name: str) -> str:
-    """The one ignore file at the root. It is hand-written and held to the size limit of any
-    other file, which is checked before it is read."""
+    """The one ignore file at the root, whatever its size: its rules become an expression, so they are needed whole."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return ""
-    if fs.getFileStatus(path).getLen() > fixed.MAX_FILE_BYTES:
-        raise ValueError(f"ignore file is larger than {fixed.MAX_FILE_BYTES} bytes")
     stream = fs.open(path)
     try:
         return bytes(stream.readAllBytes()).decode("utf-8")

@@ -630,10 +630,9 @@ sql("directory_summary", [PROJECT, ENTRIES], f"""
 SELECT t.directory, {name_of('t.directory')} AS name, {name_of(dir_of('t.directory'))} AS parent,
   coalesce({readme_purpose('r.content')}, made) AS purpose, num_files, num_dirs, t.size
 FROM totals t LEFT JOIN (SELECT directory, content FROM project WHERE file_name = 'README.md') r ON r.directory = t.directory""")
-KEPT = f"NOT {IGNORED} AND size <= {fixed.MAX_FILE_BYTES} AND NOT {one_of('ext', fixed.BINARY_EXTENSIONS['tree'])}"
-sql("language_stats", FILES, f"""
+sql("language_stats", FILES, """
 SELECT coalesce(language, '(all)') AS language, count(*) AS n_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS n_bytes
-FROM files WHERE {KEPT} GROUP BY ROLLUP (language)""")
+FROM files GROUP BY ROLLUP (language)""")
 sql("stream_language_stats", FILES, """
 SELECT coalesce(language, '(all)') AS language, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM files GROUP BY ROLLUP (language)""")
 sql("word_counts", "", """
@@ -688,7 +687,7 @@ SELECT relative_path, chunk_no AS part_no, concat_ws({NL},
   CASE WHEN chunk_no < chunk_count THEN '---' || {NL} END) AS text FROM parts""")
 _PRE = "'<pre><code class=\"' || language || '\">'"
 sql("render_html", [FILES, PARTS], f"""
-SELECT d.relative_path, 1 AS part_no, concat_ws({NL}, '<div class=''file-header'' id=''file_' || substr(sha256(d.relative_path), 1, 16) || '''>',
+SELECT d.relative_path, 1 AS part_no, concat_ws({NL}, '<div class=''file-header'' id=''file_' || sha256(d.relative_path) || '''>',
   '<h2>' || d.relative_path || '</h2>', '<h3>File Purpose</h3>', '<p>' || purpose || '</p>', '<p><strong>Size:</strong> ' || size_text || '</p>',
   '<p><strong>Last Modified:</strong> ' || {ISO} || '</p>', '</div>', '<div class=''file-content''>',
   CASE WHEN by_lines THEN body ELSE {_PRE} || {NL} || {escaped('content')} || {NL} || '</code></pre>' END,

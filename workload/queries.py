@@ -581,8 +581,7 @@ def directory_purpose(spark, d):
 
 @query
 def language_stats(spark, d):
-    kept = fl.kept_paths(_docs(spark, d))
-    return rollup.language_stats(kept)
+    return rollup.language_stats(_docs(spark, d))
 
 
 @query
