@@ -61,7 +61,7 @@ class SnapshotStore:
         """Files first, header last: a snapshot is visible only when it is complete."""
         files.write.mode("overwrite").parquet(f"{self.base}/files/snapshot_id={snapshot_id}")
         row = self.spark.createDataFrame([(snapshot_id, ts, description, tags)], schema.SNAPSHOTS)
-        self._replace(newest(self.headers().unionByName(row), self.keep))
+        self._replace(newest(self.headers().unionByName(row), self.keep), snapshot_id)
 
     def delete(self, snapshot_id: str) -> bool:
         before = self.headers()
@@ -79,8 +79,16 @@ class SnapshotStore:
         self._replace(updated(self.headers(), change))
         return True
 
-    def _replace(self, headers: DataFrame) -> None:
+    def _replace(self, headers: DataFrame, *created: str) -> None:
+        """Commit the headers, then free the files of the snapshots that are no longer named: a run that
+        ends in between leaves files too many, never a header without files."""
+        before = self._ids() | set(created)
         versions.write_version(headers, f"{self.base}/headers")
+        for gone in before - self._ids():
+            versions.remove(self.spark, f"{self.base}/files/snapshot_id={gone}")
+
+    def _ids(self) -> set[str]:
+        return {row["snapshot_id"] for row in self.headers().select("snapshot_id").take(self.keep + 1)}
 
 
 def save_named(stored: DataFrame, saves: DataFrame) -> DataFrame:

@@ -13,6 +13,12 @@ def _folder(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all it holds."""
+    fs, folder = _folder(spark, path)
+    return fs.delete(folder, True)
+
+
 def finished_versions(spark: SparkSession, base: str) -> list[int]:
     """Numbers of the versions whose write has been committed, ascending."""
     fs, folder = _folder(spark, base)

@@ -165,6 +165,10 @@ def test_snapshot_store(spark, make_files, tmp_path):
     row = store.get("s2").first()
     assert row.description == "new" and row.tags == ["t"]
     assert store.delete("s1") and not store.delete("s1") and store.headers().count() == 1
+    assert os.listdir(tmp_path / "s" / "files") == ["snapshot_id=s2"]
+    store.create(files, "old", datetime.datetime(2024, 1, 1))
+    store.create(files, "older", datetime.datetime(2023, 1, 1))  # not among the newest two
+    assert sorted(os.listdir(tmp_path / "s" / "files")) == ["snapshot_id=old", "snapshot_id=s2"]
 
 
 def test_named_snapshots(spark):
