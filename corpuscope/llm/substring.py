@@ -54,12 +54,12 @@ def _stretches(docs: DataFrame, window: int, short: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, symbols = word_hashes(batch.column("words"))
-            s = w.stretches(w.Hashes(symbols), offsets, window, short)
-            row = pa.array(s["row"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("digest").take(row), _signed(s["anchor"]), _signed(s["content"]),
-                 pa.array(s["start"], pa.int32()), pa.array(s["count"], pa.int32())],
-                ["id", "digest", "anchor", "content", "start", "count"])
+            for s in w.bounded_stretches(lambda a, b: symbols[a:b], offsets, window, short):
+                row = pa.array(s["row"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(row), batch.column("digest").take(row), _signed(s["anchor"]), _signed(s["content"]),
+                     pa.array(s["start"], pa.int32()), pa.array(s["count"], pa.int32())],
+                    ["id", "digest", "anchor", "content", "start", "count"])
 
     return docs.mapInArrow(run, "id long, digest long, anchor long, content long, start int, count int")
 

@@ -35,7 +35,7 @@ from corpuscope import session
 from corpuscope.llm import windows as w
 from corpuscope.llm.substring import _digest, _id
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 SYMBOLS = w.mixed(np.arange(1, 257, dtype=np.uint64) * w.BASE)
 
@@ -54,7 +54,7 @@ def ranks(data: np.ndarray, limit: int) -> list[tuple[int, np.ndarray]]:
     found = [(1, data), (length, _dense(key))]
     while length < limit:
         step = min(length, limit - length)
-        rank = found[-1][1]
+        rank = found[-1][1].astype(np.uint64)
         behind = np.zeros(n, np.uint64)
         behind[: max(0, n - step)] = rank[step:] + np.uint64(1)
         found.append((length + step, _dense(rank * np.uint64(n + 2) + behind)))
@@ -65,8 +65,8 @@ def ranks(data: np.ndarray, limit: int) -> list[tuple[int, np.ndarray]]:
 def _dense(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
     ordered = keys[order]
-    rank = np.empty(len(keys), np.uint64)
-    rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])).astype(np.uint64) if len(keys) else rank
+    rank = np.empty(len(keys), np.uint32)
+    rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])) if len(keys) else rank
     return rank
 
 
@@ -129,11 +129,6 @@ def repeats(data: np.ndarray, positions: np.ndarray, window: int, keep: str) ->
 # --- stretches of documents ------------------------------------------------------------------------
 
 
-def _stretches(data: pa.Array, window: int, short: int) -> dict[str, np.ndarray]:
-    flat, offsets = _bytes(data)
-    return w.stretches(w.Hashes(SYMBOLS[flat]), offsets, window, short)
-
-
 def _bytes(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column of binary values without nulls, and the offsets of its rows."""
     offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset:data.offset + len(data) + 1].astype(np.int64)
@@ -152,12 +147,13 @@ PLACE = "id long, digest long, start int, count int, anchor long, content long"
 def _of_documents(docs: DataFrame, window: int, short: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _stretches(batch.column("data"), window, short)
-            row = pa.array(s["row"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("digest").take(row), pa.array(s["start"], pa.int32()),
-                 pa.array(s["count"], pa.int32()), _signed(s["anchor"]), _signed(s["content"])],
-                ["id", "digest", "start", "count", "anchor", "content"])
+            flat, offsets = _bytes(batch.column("data"))
+            for s in w.bounded_stretches(lambda a, b: SYMBOLS[flat[a:b]], offsets, window, short):
+                row = pa.array(s["row"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(row), batch.column("digest").take(row), pa.array(s["start"], pa.int32()),
+                     pa.array(s["count"], pa.int32()), _signed(s["anchor"]), _signed(s["content"])],
+                    ["id", "digest", "start", "count", "anchor", "content"])
 
     return docs.mapInArrow(run, PLACE)
 
@@ -191,15 +187,15 @@ def _again(parts: DataFrame, window: int, short: int) -> DataFrame:
         for batch in batches:
             flat, offsets = _bytes(batch.column("data"))
             data = flat.tobytes()
-            s = _stretches(batch.column("data"), window, short)
-            row = pa.array(s["row"])
-            first = batch.column("start").take(row).to_numpy() + s["start"]
-            at = offsets[s["row"]] + s["start"]
-            cut = [data[a:a + n] for a, n in zip(at.tolist(), (s["count"] + (window - 1)).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("digest").take(row), pa.array(first, pa.int32()),
-                 pa.array(s["count"], pa.int32()), _signed(s["anchor"]), _signed(s["content"]), pa.array(cut, pa.binary())],
-                ["id", "digest", "start", "count", "anchor", "content", "data"])
+            for s in w.bounded_stretches(lambda a, b: SYMBOLS[flat[a:b]], offsets, window, short):
+                row = pa.array(s["row"])
+                first = batch.column("start").take(row).to_numpy() + s["start"]
+                at = offsets[s["row"]] + s["start"]
+                cut = [data[a:a + n] for a, n in zip(at.tolist(), (s["count"] + (window - 1)).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(row), batch.column("digest").take(row), pa.array(first, pa.int32()),
+                     pa.array(s["count"], pa.int32()), _signed(s["anchor"]), _signed(s["content"]), pa.array(cut, pa.binary())],
+                    ["id", "digest", "start", "count", "anchor", "content", "data"])
 
     return parts.select("id", "digest", "start", "count", "anchor", "content", "data").mapInArrow(run, PLACE + ", data binary")
 

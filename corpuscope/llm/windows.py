@@ -84,6 +84,31 @@ def stretches(hashes: Hashes, offsets: np.ndarray, window: int, short: int) -> d
             "anchor": shorts[anchor], "content": content}
 
 
+def bounded_stretches(symbols, offsets: np.ndarray, window: int, short: int, limit: int = 1 << 18):
+    """``stretches`` in portions of at most about ``limit`` windows, so that the arrays of a portion are bounded: long
+    rows are cut, with the overlap that their windows need. ``symbols(a, b)`` are the hashes of a range of
+    symbols. A stretch that a cut falls into becomes two."""
+    held, size = [], 0
+
+    def portion() -> dict[str, np.ndarray]:
+        ranges = [(offsets[row] + at, offsets[row] + at + count + window - 1) for row, at, count in held]
+        found = stretches(Hashes(np.concatenate([symbols(a, b) for a, b in ranges])),
+                          np.concatenate([[0], np.cumsum([b - a for a, b in ranges])]), window, short)
+        rows, first = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+        return found | {"start": found["start"] + first[found["row"]], "row": rows[found["row"]]}
+
+    for row, count in enumerate((np.diff(offsets) - window + 1).tolist()):
+        for at in range(0, count, limit):
+            here = min(limit, count - at)
+            if held and size + here + window > limit:
+                yield portion()
+                held, size = [], 0
+            held.append((row, at, here))
+            size += here + window
+    if held:
+        yield portion()
+
+
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges joined where they overlap or touch, in order."""
     if not len(starts):

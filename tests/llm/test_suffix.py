@@ -95,3 +95,20 @@ def test_query(spark):
     rows = QUERIES["op2_suffix_dedup"](spark, folder).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute(docs, 400, "none")
     assert any(r.n_removed for r in rows)
+
+
+@pytest.mark.parametrize("limit", [1, 7, 64])
+def test_cut_rows_give_the_same(spark, monkeypatch, limit):
+    """Portions of any size: long rows are cut, and nothing is lost at the cuts."""
+    whole = suffix.w.bounded_stretches
+    monkeypatch.setattr(suffix.w, "bounded_stretches", lambda *a: whole(*a, limit=limit))
+    draw = np.random.default_rng(limit)
+    offsets = np.array([0, 5, 5, 60, 200])
+    symbols = draw.integers(0, 1 << 60, 200).astype(np.uint64)
+    covered = set()
+    for s in suffix.w.bounded_stretches(lambda a, b: symbols[a:b], offsets, 9, 3):
+        for row, start, count in zip(s["row"], s["start"], s["count"]):
+            new = {(int(row), int(start) + i) for i in range(count)}
+            assert not new & covered
+            covered |= new
+    assert covered == {(row, i) for row, size in enumerate(np.diff(offsets)) for i in range(size - 8)}
