@@ -47,15 +47,19 @@ def terms(text: Column) -> Column:
 
 def votes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """The keys (unique) and ``bits``: the fingerprint's longs, of each row."""
-    each = rows.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("__at", "__t"))
+    each = rows.select(*keys, terms(F.col(text)).alias("__terms")).select(
+        *keys, (F.size("__terms") > RUN).alias("__many"), F.posexplode_outer("__terms").alias("__at", "__t"))
     run = F.coalesce(F.floor(F.col("__at") / RUN), F.lit(0)).alias("__run")
     lanes = [F.sum(F.shiftrightunsigned(F.col(f"__t.h{half}"), shift).bitwiseAND(F.lit(LANES)) * F.col("__t.weight")).alias(f"__s{half}_{shift}")
              for half in range(HALVES) for shift in range(16)]
-    sums = each.groupBy(*keys, run).agg(F.sum("__t.weight").alias("__weight"), *lanes)
+    sums = each.groupBy(*keys, "__many", run).agg(F.sum("__t.weight").alias("__weight"), *lanes)
     # A lane holds at most RUN * MAX_WEIGHT, below 2**15. Bit ``shift + 16 * lane`` is in lane ``lane``.
-    counts = [F.sum(F.shiftrightunsigned(F.col(f"__s{half}_{bit % 16}"), bit // 16 * 16).bitwiseAND(F.lit(0xFFFF))).alias(f"__c{half}_{bit}")
-              for half in range(HALVES) for bit in range(64)]
-    totals = sums.groupBy(*keys).agg(F.sum("__weight").alias("__weight"), *counts)
+    # Texts of one run have their counts already; those of several runs are summed once more.
+    counts = {f"__c{half}_{bit}": F.shiftrightunsigned(F.col(f"__s{half}_{bit % 16}"), bit // 16 * 16).bitwiseAND(F.lit(0xFFFF))
+              for half in range(HALVES) for bit in range(64)}
+    one = sums.where(~F.col("__many")).select(*keys, "__weight", *[c.alias(name) for name, c in counts.items()])
+    several = sums.where("__many").groupBy(*keys).agg(F.sum("__weight").alias("__weight"), *[F.sum(c).alias(name) for name, c in counts.items()])
+    totals = one.unionByName(several)
     longs = [reduce(lambda a, b: a.bitwiseOR(b), [
         F.when(2 * F.col(f"__c{half}_{bit}") > F.col("__weight"), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0))
         for bit in range(64)]).cast("long") for half in range(HALVES)]
@@ -102,7 +106,8 @@ def with_next(df: DataFrame, order: list[str], columns: dict[str, str]) -> DataF
     buckets = [r["__bucket"] for r in starts]
     before = df.sparkSession.createDataFrame([(r["__bucket"], r["__first"], buckets[i - 1]) for i, r in enumerate(starts)],
                                              f"__of int, __first {df.schema[order[0]].dataType.simpleString()}, __to int")
-    halo = marked.join(before, (F.col("__bucket") == F.col("__of")) & F.col(order[0]).eqNullSafe(F.col("__first"))).select(
+    # At most MAX_BUCKETS slim rows are broadcast, so the rows with texts stay where they are.
+    halo = marked.join(F.broadcast(before), (F.col("__bucket") == F.col("__of")) & F.col(order[0]).eqNullSafe(F.col("__first"))).select(
         *df.columns, F.col("__to").alias("__bucket"), F.lit(1).alias("__halo"))
     both = marked.withColumn("__halo", F.lit(0)).unionByName(halo)
     w = Window.partitionBy("__bucket").orderBy("__halo", *[F.col(c).asc_nulls_last() for c in order])
