@@ -9,7 +9,8 @@
 3. Prefixes. The n-grams of the remaining classes are counted and ordered from the rarest, and linked
    sets share one in their prefixes. What one class alone has cannot be shared and is left out of its prefix.
    Classes with the same prefix and size are one *group*.
-4. Group pairs that share a prefix element and fit in size. First each list of groups is compared with the first
+4. Group pairs that share a prefix element, taken at the first they share, and that fit: what stands before that element
+   in one set is not in the other, so both places together may not exceed the D of the two sizes. First each list of groups is compared with the first
    of its classes only (a star), which joins the copies of one text without all their pairs. Of what is
    left, pairs of different components are expanded into members and verified; a list whose groups are in
    one component is done.
@@ -155,6 +156,12 @@ def _fits(a: str, b: str, t: Fraction) -> Column:
     return (F.least(a, b) * t.denominator >= F.greatest(a, b) * t.numerator)
 
 
+def _may_link(x: str, y: str, t: Fraction) -> Column:
+    """Whether sets whose first common element is at ``place`` can be linked."""
+    size, place = F.col(f"{x}size") + F.col(f"{y}size"), F.col(f"{x}place") + F.col(f"{y}place")
+    return _fits(f"{x}size", f"{y}size", t) & (place * (t.denominator + t.numerator) <= size * (t.denominator - t.numerator))
+
+
 def linked(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, digest (xxhash64 of the text), n_shingles, component_id (the smallest id reachable by links) per row, and
     whether the row ``stands`` for its component."""
@@ -181,16 +188,19 @@ def linked(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text
     prefix = F.col("size") - F.ceil(F.col("size") * t.numerator / F.lit(float(t.denominator)) - 1e-9) + 1
     held = each.join(counts, "gram").groupBy("no", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("held"))
     # Elements of one class alone are the rarest of all: they take the first places of the prefix.
-    places = prefix - (F.col("size") - F.size("held"))
-    prefixes = held.where(places > 0).select("no", "size", F.slice("held.gram", F.lit(1), places.cast("int")).alias("prefix"))
-    prefixes = session.written(prefixes.withColumn("group", F.xxhash64("size", "prefix")), "prefixes")
+    lone = F.col("size") - F.size("held")
+    places = (prefix - lone).cast("int")
+    prefixes = held.where(places > 0).select("no", "size", lone.alias("lone"), F.slice("held.gram", F.lit(1), places).alias("prefix"))
+    prefixes = session.written(prefixes.withColumn("group", F.xxhash64("size", "lone", "prefix")), "prefixes")
     # 4. Groups, their lists, and stars.
-    groups = prefixes.groupBy("group").agg(F.min("no").alias("head"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    posts = session.written(groups.select("group", "head", "size", F.explode("prefix").alias("gram")), "posts")
+    groups = session.written(prefixes.groupBy("group").agg(
+        F.min("no").alias("head"), F.first("size").alias("size"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix")), "groups")
+    posts = groups.select("group", "head", "size", "lone", F.posexplode("prefix").alias("nth", "gram"))
+    posts = session.written(posts.withColumn("place", F.col("lone") + F.col("nth")), "posts")
     members = prefixes.select("group", "no", "size")
-    heads = posts.groupBy("gram").agg(F.min(F.struct("head", "size")).alias("hub")).select("gram", "hub.*").withColumnsRenamed(
-        {"head": "a", "size": "hub_size"})
-    stars = posts.join(heads, "gram").where(_fits("size", "hub_size", t)).select("a", "group").distinct()
+    heads = posts.groupBy("gram").agg(F.min(F.struct("head", "size", "place")).alias("hub")).select("gram", "hub.*").withColumnsRenamed(
+        {"head": "a", "size": "hub_size", "place": "hub_place"})
+    stars = posts.join(heads, "gram").where(_may_link("", "hub_", t)).select("a", "group").distinct()
     own = prefixes.join(groups.select("group", F.col("head").alias("a")), "group").select("a", F.col("no").alias("b"))
     first = stars.join(members, "group").select("a", F.col("no").alias("b")).unionByName(own).where("a <> b").distinct()
     edges = session.written(_verified(session.written(first, "stars"), kept, t), "edges")
@@ -198,14 +208,16 @@ def linked(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text
     # What is in different components and meets in a list.
     tagged = session.written(members.join(known.withColumnRenamed("node", "no"), "no", "left").select(
         "group", "no", "size", F.coalesce("component", "no").alias("component")), "tagged")
-    lists = posts.select("group", "gram").join(tagged.select("group", "component").distinct(), "group").select("gram", "component", "group").unionByName(
-        tagged.select(F.xxhash64(F.lit("group"), "group").alias("gram"), "component", "group").distinct())
-    lists = session.written(lists, "lists")
+    held_by = tagged.select("group", "component").distinct()
+    lists = session.written(posts.select("group", "size", "place", "nth", "gram").join(held_by, "group"), "lists")
     mixed = lists.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    open_lists = session.written(lists.join(mixed, "gram"), "open")
+    open_lists = session.written(lists.join(mixed, "gram").join(groups.select("group", "prefix"), "group"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component"))).select(
-        F.col("x.group").alias("ag"), F.col("x.component").alias("ac"), F.col("y.group").alias("bg"), F.col("y.component").alias("bc")).distinct()
+    # Members of one group meet at its first element, other groups at the first that both prefixes have.
+    before = F.arrays_overlap(F.slice("x.prefix", F.lit(1), F.col("x.nth")), F.slice("y.prefix", F.lit(1), F.col("y.nth")))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component"))
+                 & _may_link("x.", "y.", t) & ~before).select(
+        F.col("x.group").alias("ag"), F.col("x.component").alias("ac"), F.col("y.group").alias("bg"), F.col("y.component").alias("bc"))
     side = {s: tagged.select(F.col("group").alias(f"{s}g"), F.col("component").alias(f"{s}c"), F.col("no").alias(s), F.col("size").alias(f"{s}s")) for s in "ab"}
     rest = met.join(side["a"], ["ag", "ac"]).join(side["b"], ["bg", "bc"]).where(_fits("as", "bs", t)).select("a", "b").distinct()
     more = session.written(_verified(session.written(rest, "rest"), kept, t), "edges")
