@@ -74,3 +74,24 @@ def test_too_many_templates(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MAX_SHINGLES", 3)
     with pytest.raises(ValueError, match="shingles"):
         licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+
+
+def test_whole_licenses_and_families(spark):
+    """Whole texts and headers are found, and of a family only the license that is there is best."""
+    whole = dict(licenses.texts())
+    header = {n: t for n, t in licenses.NOTICES if "redistribute it and/or modify" in t and "any later" in t}
+    rows = [(f"{name} text", name, text) for name, text in licenses.texts()]
+    rows += [(f"{name} header", name, f"word {text} tail") for name, text in header.items()]
+    rows += [("edited", "ISC", "Copyright Somebody " + whole["ISC"].replace("THE AUTHOR", "SOMEBODY")),
+             ("share", "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+             ("gpl", "GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+             ("two", "GPL-2.0,LGPL-2.1", header["GPL-2.0"] + " " + header["LGPL-2.1"])]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id string, text string")).collect():
+        if r.best:
+            got.setdefault(r.doc_id, set()).add(r.license)
+    for name, wanted, _ in rows:
+        assert set(wanted.split(",")) <= got[name], name
+        if not name.endswith("text"):
+            assert got[name] == set(wanted.split(",")), name
+    assert got["BSD-2-Clause text"] == {"BSD-2-Clause"} and got["BSD-3-Clause text"] == {"BSD-3-Clause"}
