@@ -1,11 +1,13 @@
 """Packing of tokenised documents into sequences of bounded length.
 
-Hierarchical residual packing: every partition packs its items best-fit (largest first, each into
-the fullest sequence that still takes it) and emits the sequences that are nearly full. The
-underfull ones travel as items of their own to the next level of a tree of partitions, where
-best-fit is repeated, until one partition is left or a round joins nothing. Only slim rows travel
-(keys, start, length, checksum), never tokens. A task packs at most ``GROUP`` items at a time, and
-a level never has fewer partitions than that takes, so memory is bounded at any size.
+Hierarchical residual packing: items are dealt evenly over tasks, whatever partition they come from; every task
+packs its items best-fit (largest first, each into the fullest sequence that still takes it) and
+emits the sequences that are nearly full. The underfull ones travel as items of their own to the next
+level of a tree, dealt evenly over an eighth of the tasks, where best-fit is repeated. Sequences that not even the
+smallest one fits into leave on the way. The tree ends with one task. If more are left than one task may
+hold, they are dealt again and again, each time in another way, until ``DEALINGS`` in a row join nothing.
+Only slim rows travel (keys, start, length, checksum), never tokens. A task packs at most ``GROUP`` items
+at a time, and a level never has fewer tasks than that takes, so memory is bounded at any size.
 
 Defined cases: a null text counts as empty, and an empty text has only its end id; a document of
 more than the capacity is cut, its first piece takes what is over; repeated rows and equal keys are
@@ -21,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from corpuscope import session
 from corpuscope.llm import bpe
 
 GROUP = 200_000  # items that one task packs at a time
-FAN_IN = 8       # partitions that meet in one of the next level
+FAN_IN = 8       # tasks whose bins meet in one of the next level
+DEALINGS = 3     # dealings in a row without a join after which several tasks stop
 
 
 def cut(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, text: str = "text", key: str = "doc_id",
@@ -106,20 +109,38 @@ def _packed(items: pa.Table, capacity: int, names: list[str]) -> pa.RecordBatch:
 
 
 def _round(bins: DataFrame, capacity: int) -> DataFrame:
+    """The bins of each task, with ``node`` (task), ``portion`` (of ``GROUP`` items) and ``slot``, which is unique in a portion."""
     names = ["fill", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, portion = [], 0, 0
+
+        def done() -> pa.RecordBatch:
+            out = _packed(pa.Table.from_batches(held), capacity, names)
+            places = [pa.array(np.full(out.num_rows, portion)), pa.array(np.arange(out.num_rows))]
+            return pa.RecordBatch.from_arrays([*out.columns, *places], [*names, "portion", "slot"])
+
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
             if count >= GROUP:
-                yield _packed(pa.Table.from_batches(held), capacity, names)
-                held, count = [], 0
+                yield done()
+                held, count, portion = [], 0, portion + 1
         if count:
-            yield _packed(pa.Table.from_batches(held), capacity, names)
+            yield done()
+
+    slim = bins.select(*names)
+    schema = T.StructType([*slim.schema.fields, T.StructField("portion", T.LongType()), T.StructField("slot", T.LongType())])
+    return slim.mapInArrow(run, schema).withColumn("node", F.spark_partition_id())
+
+
+def _tasks(bins: int) -> int:
+    """Tasks that hold at most ``GROUP`` of evenly dealt bins each, with some room for chance."""
+    return 1 if bins <= GROUP else -(-bins * 5 // (GROUP * 4))
 
-    return bins.select(*names).mapInArrow(run, bins.select(*names).schema).withColumn("node", F.spark_partition_id())
+
+def _dealt(bins: DataFrame, tasks: int, *by: str | Column) -> DataFrame:
+    return bins.repartition(tasks, *by) if tasks > 1 else bins.repartition(1)
 
 
 def pack(items: DataFrame, capacity: int = 1024, length: str = "length", nearly_full: float = 0.996) -> DataFrame:
@@ -128,30 +149,32 @@ def pack(items: DataFrame, capacity: int = 1024, length: str = "length", nearly_
     A bin is nearly full, and final, from ``nearly_full`` of the capacity on."""
     if {"sequence_id", "offset"} & set(items.columns):
         raise ValueError("the items already have a column sequence_id or offset")
-    spark = items.sparkSession
     final_from = int(np.ceil(nearly_full * capacity))
     single = items.select(F.col(length).cast("long").alias("fill"), F.array(F.struct(*items.columns)).alias("members"))
-    start = session.written(single, "items")
+    start = session.written(single.withColumn("slot", F.monotonically_increasing_id()), "items")
     whole = start.where(F.col("fill") == capacity)  # fills a sequence alone
-    level = session.written(_round(start.where(F.col("fill").isNull() | (F.col("fill") != capacity)), capacity), "bins")
-    finished = [whole]
+    loose = start.where(F.col("fill").isNull() | (F.col("fill") != capacity))
+    tasks = max(_tasks(loose.count()), loose.rdd.getNumPartitions())
+    level = session.written(_round(_dealt(loose, tasks, "slot"), capacity), "bins")
+    finished = [whole.select("fill", "members")]
+    dealing = idle = 0
     while True:
-        under = level.where(F.col("fill") < final_from)
-        state = under.agg(F.count("*").alias("bins"), F.countDistinct("node").alias("nodes")).first()
         finished.append(level.where(F.col("fill") >= final_from).select("fill", "members"))
-        if state["nodes"] <= 1:
-            break
-        tasks = max(-(-state["nodes"] // FAN_IN), -(-state["bins"] // GROUP))
-        if tasks >= state["nodes"]:
+        under = level.where(F.col("fill") < final_from)
+        low = under.agg(F.min("fill")).first()[0]
+        fits = F.col("fill") <= max(capacity - (low or 0), low or 0)  # with the smallest, or is the smallest
+        finished.append(under.where(~fits).select("fill", "members"))
+        under = under.where(fits)
+        state = under.agg(F.count("*").alias("bins"), F.countDistinct("node", "portion").alias("nodes")).first()
+        least = _tasks(state["bins"])
+        if state["nodes"] <= 1 or idle == DEALINGS:
             break
-        # Numbered neighbours meet; the number of a task is only where its rows come from.
-        spread = F.pmod(F.floor(F.col("node") / FAN_IN), F.lit(tasks)).cast("int")
-        merged = session.written(_round(under.repartitionByRange(tasks, spread, "fill"), capacity), "bins")
-        joined = merged.count()
-        level = merged
-        if joined == state["bins"]:  # nothing fits together any more
-            finished.append(level.where(F.col("fill") >= final_from).select("fill", "members"))
-            under = level.where(F.col("fill") < final_from)
+        tasks = max(-(-tasks // FAN_IN), least)  # of the tasks asked for, so that the tree ends whoever deals more
+        dealing += 1
+        level = session.written(_round(_dealt(under, tasks, "node", "portion", "slot", F.lit(dealing)), capacity), "bins")
+        idle = idle + 1 if tasks == least and level.count() == state["bins"] else 0
+        if tasks == 1:  # all that was left has met
+            under = level
             break
     finished.append(under.select("fill", "members"))
     bins = finished[0]

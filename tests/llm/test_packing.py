@@ -50,6 +50,22 @@ def test_rounds_join_what_fits(spark, parts):
     assert check_places(rows, 1024) <= lower + 3
 
 
+@pytest.mark.parametrize("parts", [1, 12])
+def test_bins_meet_beyond_a_task(spark, monkeypatch, parts):
+    """Sizes that come in order, in many more bins than one task takes."""
+    monkeypatch.setattr(packing, "GROUP", 40)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        sizes = [600] * 400 + [400] * 400
+        items = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, length long").repartitionByRange(parts, "doc_id")
+        rows = packing.pack(items).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(sizes))
+    assert check_places(rows, 1024) <= 400 * 1.1
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, "a"), (1, "", "b"), (1, "", "b"), (2, "word " * 5000, None)],
                                "doc_id long, text string, length string")
