@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope import session
-from corpuscope.llm import bpe, jaccard, langid, licenses, packing, sharding, simhash, substring, suffix, topk
+from corpuscope.llm import bpe, decontaminate, jaccard, langid, licenses, packing, sharding, simhash, substring, suffix, topk
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,11 @@ def op6_jaccard_join(spark, d):
 def op2_suffix_dedup(spark, d):
     done = suffix.remove(table(spark, d, "documents"), keep="none")
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_decontamination(spark, d):
+    found = decontaminate.hits(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        sha256(F.array_join("items", ",")).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
