@@ -1,9 +1,9 @@
 """Benchmark passages in documents, exactly: winnowing.
 
 A window is ``window`` consecutive words of a benchmark item; an item of fewer words is one window of its own
-length. Of the k-grams of a window (k: half its words, rounded up) the smallest hash is its fingerprint, so equal windows
-have equal fingerprints, and neighbouring windows mostly share theirs: a text has about two fingerprints per
-``window`` / 2 words.
+length. Of the k-grams of a window (k: the largest power of two up to half its words, rounded up) the smallest hash is its
+fingerprint, so equal windows have equal fingerprints, and neighbouring windows mostly share theirs: of 10 words and
+4-grams, a text has about one fingerprint per 4 words.
 
 1. Prints: the distinct fingerprints of a text, in blocks of ``BLOCK`` windows, written once as a slim table.
 2. Join: fingerprints of texts with those of the items. Every occurrence of a window is in a block that meets
@@ -22,7 +22,7 @@ no hits."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -47,14 +47,27 @@ def _identity(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
+def _over(values: Column, width: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """At each place, ``merge`` over the ``width`` values from there, by doubling. Overlaps do no harm: equal runs of values
+    are merged alike. The last places, where fewer values are left, mean nothing."""
+    def step(shift: int) -> Callable[[Column], Column]:
+        return lambda v: F.transform(v, lambda x, i: merge(x, F.get(v, i + shift)))
+
+    covered = 1
+    while covered < width:
+        shift = min(covered, width - covered)
+        values = let(values, step(shift))
+        covered += shift
+    return values
+
+
 def minima(pieces: Column, length: int) -> Column:
     """The fingerprint of every window of ``length`` words, in order."""
-    k = -(-length // 2)
+    k = 1 << (-(-length // 2)).bit_length() - 1
     count = F.size(pieces)
-    grams = F.transform(F.sequence(F.lit(1), count - (k - 1)), lambda i: F.xxhash64(F.lit(length), F.slice(pieces, i, F.lit(k))))
-    lowest = let(grams, lambda g: F.transform(
-        F.sequence(F.lit(1), count - (length - 1)), lambda i: F.array_min(F.slice(g, i, F.lit(length - k + 1)))))
-    return F.when(count >= length, lowest).otherwise(F.array().cast("array<bigint>"))
+    hashed = F.transform(pieces, lambda w: F.xxhash64(F.lit(length), w))
+    lowest = _over(_over(hashed, k, lambda x, y: F.xxhash64(x, y)), length - k + 1, lambda x, y: F.least(x, y))
+    return F.when(count >= length, F.slice(lowest, F.lit(1), count - (length - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _block_prints(lowest: Column) -> Column:
@@ -102,7 +115,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text"
     found, texts = _found(docs, items, window, text, key, item_text, item_key)
     none = F.array()
     return texts.join(found, ["t1", "t2"], "left").select(
-        key, "n_words", F.coalesce("spans", none.cast(SPANS)).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
+        F.col("key").alias(key), "n_words", F.coalesce("spans", none.cast(SPANS)).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id",
@@ -120,26 +133,28 @@ def _found(docs: DataFrame, items: DataFrame, window: int, text: str, key: str,
         raise ValueError("a window has a word or more")
     wanted = item_windows(items, window, item_text, item_key)
     lengths = sorted(row.length for row in wanted.select("length").distinct().collect())
-    split = docs.select(F.col(key), *_identity(F.col(text)), words(F.col(text)).alias("words"))
+    named = docs.select(F.col(key).alias("key"), *_identity(F.col(text)), F.col(text).alias("text"))
+    pieces = words(F.col("text")).alias("words")
     # 1. Prints of all texts.
     own = [_block_prints(minima(F.col("words"), length)) for length in lengths]
     prints = F.concat(*own) if own else F.array().cast("array<struct<block: int, print: bigint>>")
-    texts = session.written(split.select(key, "t1", "t2", F.size("words").cast("long").alias("n_words"), prints.alias("prints")), "prints")
+    texts = session.written(named.select("key", "t1", "t2", pieces).select("key", "t1", "t2", F.size("words").cast("long").alias("n_words"), prints.alias("prints")), "prints")
     # 2. Those that items have, by text and block.
     each = texts.select("t1", "t2", F.inline("prints"))
     met = each.join(wanted.select("print").distinct(), "print", "left_semi")
     blocks = met.groupBy("t1", "t2", "block").agg(F.collect_set("print").alias("prints"))
     matched = blocks.groupBy("t1", "t2").agg(F.collect_list(F.struct("block", "prints")).alias("blocks"))
     # 3. Windows, word by word.
-    again = split.select("t1", "t2", "words").join(session.written(matched, "matched").hint("merge"), ["t1", "t2"])
+    again = named.select("t1", "t2", "text").join(session.written(matched, "matched").hint("merge"), ["t1", "t2"]).select(
+        "t1", "t2", "blocks", pieces)
     spelled = [_met_windows(F.col("words"), F.col("blocks"), length) for length in lengths]
     spelled = F.concat(*spelled) if spelled else F.array().cast("array<struct<start: int, end: int, passage: string>>")
     passages = wanted.select("passage").distinct().withColumn("no", F.monotonically_increasing_id())
     passages = session.written(passages, "passages")
     spots = again.select("t1", "t2", F.inline(spelled)).join(passages, "passage").select("t1", "t2", "start", "end", "no")
     spots = session.written(spots.distinct(), "spots")
-    named = wanted.where(F.col("item").isNotNull()).join(passages, "passage").select("no", "item")
-    items_of = spots.select("t1", "t2", "no").distinct().join(named, "no").select("t1", "t2", "item").distinct().groupBy("t1", "t2").agg(
+    owners = wanted.where(F.col("item").isNotNull()).join(passages, "passage").select("no", "item")
+    items_of = spots.select("t1", "t2", "no").distinct().join(owners, "no").select("t1", "t2", "item").distinct().groupBy("t1", "t2").agg(
         F.array_sort(F.collect_list("item")).alias("items"))
     found = spans(spots, ["t1", "t2"]).join(items_of, ["t1", "t2"], "left")
     return session.written(found, "found"), texts

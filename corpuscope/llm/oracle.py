@@ -18,7 +18,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 ORACLES["op13_decontamination"] = r"""
 WITH split AS (
-  SELECT row_number() OVER () AS row, doc_id,
+  SELECT row_number() OVER () AS nr, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM documents
 ), items AS (
@@ -28,21 +28,21 @@ WITH split AS (
 ), sized AS (
   SELECT item, words, least(10, len(words)) AS size FROM items WHERE len(words) > 0
 ), windows AS (
-  SELECT DISTINCT item, size, array_to_string(words[at:at + size - 1], ' ') AS passage
-  FROM (SELECT *, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS at FROM sized)
+  SELECT DISTINCT item, size, array_to_string(words[place:place + size - 1], ' ') AS passage
+  FROM (SELECT *, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS place FROM sized)
 ), sizes AS (
   SELECT DISTINCT size FROM windows
 ), own AS (
-  SELECT row, size, at, array_to_string(words[at:at + size - 1], ' ') AS passage
-  FROM (SELECT row, words, size, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS at FROM split, sizes WHERE len(words) >= size)
+  SELECT nr, size, place, array_to_string(words[place:place + size - 1], ' ') AS passage
+  FROM (SELECT nr, words, size, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS place FROM split, sizes WHERE len(words) >= size)
 ), met AS (
-  SELECT DISTINCT own.row, own.at, own.size, windows.item FROM own JOIN windows ON own.size = windows.size AND own.passage = windows.passage
+  SELECT DISTINCT own.nr, own.place, own.size, windows.item FROM own JOIN windows ON own.size = windows.size AND own.passage = windows.passage
 ), covered AS (
-  SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(at, at + size)) AS word FROM met) GROUP BY row
+  SELECT nr, count(DISTINCT word) AS n_hit FROM (SELECT nr, unnest(range(place, place + size)) AS word FROM met) GROUP BY nr
 ), named AS (
-  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT row, item FROM met WHERE item IS NOT NULL) GROUP BY row
+  SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT nr, item FROM met WHERE item IS NOT NULL) GROUP BY nr
 )
 SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM split LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+FROM split LEFT JOIN covered USING (nr) LEFT JOIN named USING (nr)
 """
