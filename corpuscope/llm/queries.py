@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope import session
-from corpuscope.llm import bpe, decontaminate, jaccard, langid, licenses, packing, sharding, simhash, substring, suffix, topk
+from corpuscope.llm import bpe, decontaminate, jaccard, langid, licenses, packing, sharding, simhash, substring, suffix, topk, whiten
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,8 @@ def op13_decontamination(spark, d):
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         sha256(F.array_join("items", ",")).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query
+def op12_whitening(spark, d):
+    return whiten.whiten(table(spark, d, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
