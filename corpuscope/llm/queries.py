@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope import session
-from corpuscope.llm import bpe, decontaminate, jaccard, langid, licenses, packing, sharding, simhash, substring, suffix, topk, whiten
+from corpuscope.llm import bpe, decontaminate, jaccard, langid, licenses, negatives, packing, sharding, simhash, substring, suffix, topk, whiten
 from corpuscope.llm.common import configure, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,10 @@ def op13_decontamination(spark, d):
 @query
 def op12_whitening(spark, d):
     return whiten.whiten(table(spark, d, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op11_hard_negatives(spark, d):
+    rows = table(spark, d, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, rows.where("vec_id % 100 = 0"))
