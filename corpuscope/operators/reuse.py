@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscope import session
 
@@ -29,8 +29,14 @@ def reuse_analysis(
     return files.select("relative_path", "content_hash").join(store, "content_hash"), store
 
 
-def latest_versions(edits: DataFrame, key: str = "path", at: str = "ts") -> DataFrame:
-    """The last edit per path. ``max_by`` keeps one row per path and task before the shuffle."""
-    rest = [c for c in edits.columns if c not in (key, at)]
-    return edits.groupBy(key).agg(
-        F.max(F.struct(F.col(at), *rest)).alias("last")).select(key, "last.*")
+def version_rank(at: str = "ts", content: str = "content_hash", of: str = "") -> Column:
+    """What orders the edits of a path: the time, then the hash; an edit without a hash (a removal) comes first of its time."""
+    return F.struct(F.col(f"{of}{at}"), F.col(f"{of}{content}"))
+
+
+def latest_versions(edits: DataFrame, key: str = "path", at: str = "ts", content: str = "content_hash") -> DataFrame:
+    """The last edit per path, by ``version_rank``; the other columns decide what is left undecided. ``max`` keeps one row
+    per path and task before the shuffle."""
+    first = [at, *([content] if content in edits.columns else [])]
+    rest = [c for c in edits.columns if c not in (key, *first)]
+    return edits.groupBy(key).agg(F.max(F.struct(*first, *rest)).alias("last")).select(key, "last.*").select(*edits.columns)

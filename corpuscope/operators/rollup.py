@@ -18,7 +18,11 @@ ALL_LANGUAGES = "(all)"
 
 def language_stats(files: DataFrame) -> DataFrame:
     """(language, n_files, n_bytes), with a row for the whole corpus."""
-    per_language = files.groupBy("language").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    return with_total(files.groupBy("language").agg(F.count("*").alias("n"), F.sum("size").alias("b")))
+
+
+def with_total(per_language: DataFrame) -> DataFrame:
+    """(language, n_files, n_bytes) of counts per language (language, n, b), and a row for the whole corpus."""
     return (
         per_language.rollup("language")  # over one row per language, not over the files
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_bytes"))

@@ -40,6 +40,21 @@ def read_latest(spark: SparkSession, base: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/version={done[-1]}")
 
 
+def read_before(spark: SparkSession, base: str, batch: int | None, schema: str) -> DataFrame:
+    """The newest version that batches before ``batch`` have written (batch n writes version n + 1; no batch: the newest)."""
+    done = [n for n in finished_versions(spark, base) if batch is None or n <= batch]
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{base}/version={done[-1]}")
+
+
+def drop_before(spark: SparkSession, base: str, batch: int) -> None:
+    """Delete the versions that neither ``batch`` nor a later one reads."""
+    done = [n for n in finished_versions(spark, base) if n <= batch]
+    for version in done[:-1]:
+        remove(spark, f"{base}/version={version}")
+
+
 def write_version(df: DataFrame, base: str, version: int | None = None) -> int:
     """Write the next version, or a given one. Writing a given version twice replaces it with
     the same content, which makes a repeated batch harmless."""

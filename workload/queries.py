@@ -748,7 +748,7 @@ def stream_language_stats(spark, d):
 def stream_incremental(spark, d):
     base = session.new_folder(spark, "incremental")
     rows = v.files(v.stream_of(spark, d, "documents")).withColumnRenamed("mtime", "ts")
-    versions.write_version(_state(v.previous(spark, d)), f"{base}/state", 0)
+    st.start_incremental(_state(v.previous(spark, d)), base)
 
     def process(files):
         return files.select("relative_path", "size", "content_hash")
