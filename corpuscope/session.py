@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuscope.sources import versions
+
 # Run-time settings the operators count on. Skewed join partitions are split by size while
 # the query runs, also where that costs one more shuffle. No operator hints a broadcast: Spark
 # broadcasts a side only when its size, taken from its files and counted four times for their
@@ -69,3 +73,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     folder = new_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+# Shuffle files of a finished query are of no use where each step writes its result; Spark else keeps them until the
+# driver happens to collect its garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``written`` whose tables are deleted at the end of the block, for steps between an input and a result that
+    is written itself."""
+    folders = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        folders.append(new_folder(spark, label))
+        df.write.parquet(folders[-1])
+        return spark.read.schema(df.schema).parquet(folders[-1])
+
+    try:
+        yield keep
+    finally:
+        for folder in folders:
+            versions.remove(spark, folder)
