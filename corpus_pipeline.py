@@ -25,19 +25,19 @@ SEQUENCE = 1024     # tokens
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.configure(spark)
+    common.configure(spark, clean=True)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.identify(docs, model, lang_pred="__lang", score="__score")
     return found.where((F.col("__lang") != langid.NO_LANGUAGE) & (F.col("__score") >= LIKELY)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.configure(spark)
+    common.configure(spark, clean=True)
     return jaccard.one_of_each(docs, n=5, threshold=Fraction(4, 5)).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.configure(spark)
+    common.configure(spark, clean=True)
     cut = substring.remove(docs, window=50).where("n_removed = 0 OR n_removed < n_words")
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -46,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.configure(spark)
+    common.configure(spark, clean=True)
     return packing.pack(packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE), SEQUENCE)
 
 
@@ -56,7 +56,7 @@ ORACLE_SQL = None  # a learned language model, components and packing are beyond
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(common.configure(spark), sf_dir, "documents")
+    docs = common.table(common.configure(spark, clean=True), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = session.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

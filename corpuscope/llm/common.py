@@ -10,9 +10,10 @@ from corpuscope import session
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
-def configure(spark: SparkSession, batch_rows: int = 500) -> SparkSession:
+def configure(spark: SparkSession, batch_rows: int = 500, clean: bool = False) -> SparkSession:
     """The library's settings, and Arrow batches small enough that a batch of long texts and the
-    arrays made of it stay a small part of an executor's memory."""
+    arrays made of it stay a small part of an executor's memory. ``clean``: shuffle files go at the end of each query."""
+    spark.conf.set(session.CLEAN_SHUFFLES, str(clean).lower())
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return session.configure(spark)
 

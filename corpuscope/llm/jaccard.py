@@ -11,9 +11,11 @@
    Classes with the same prefix and size are one *group*.
 4. Group pairs that share a prefix element, taken at the first they share, and that fit: what stands before that element
    in one set is not in the other, so both places together may not exceed the D of the two sizes. First each list of groups is compared with the first
-   of its classes only (a star), which joins the copies of one text without all their pairs. Of what is
-   left, pairs of different components are expanded into members and verified; a list whose groups are in
-   one component is done.
+   of its classes only (a star), which joins the copies of one text without all their pairs; a list whose groups are in
+   one component is done. Of what is left, in different components, the members of the smaller side are measured against the
+   other group's first class; that group's members, whose own distance to it is known, are expanded only where the
+   two distances differ by no more than D, and verified. So texts near a large group, but not linked with it, don't
+   meet all of its members.
 
 Every link decides over the components, though links inside a component are not all written down. Sets are
 compared as 64-bit hashes of n-grams; equal sets by 128 bits.
@@ -120,11 +122,27 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, digest long, size long, d1 long, d2 long")
 
 
+SEEN = 1_000_000  # classes that a task remembers
+
+
 def _signatures(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """The parts of each class, once per task (or a few times, if it has more than ``SEEN`` classes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             offsets, grams = sets(batch.column("words"), n)
             d1 = digests(offsets, grams)[0]
+            fresh = []
+            for row, value in enumerate(d1.tolist()):
+                if value not in seen:
+                    seen.add(value)
+                    fresh.append(row)
+            if len(seen) > SEEN:
+                seen.clear()
+            sizes = np.diff(offsets)
+            d1, own = d1[fresh], np.zeros(len(sizes), bool)
+            own[fresh] = True
+            grams, offsets = grams[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[fresh])])
             rows, signature = parts(offsets, grams, threshold)
             yield pa.RecordBatch.from_arrays([_signed(d1[rows]), _signed(signature)], ["d1", "part"])
 
@@ -142,14 +160,16 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("words").mapInArrow(run, "d1 long, d2 long, grams array<long>")
 
 
-def _verified(pairs: DataFrame, kept: DataFrame, t: Fraction) -> DataFrame:
-    """Of pairs (a, b) of classes, the links."""
+def _measured(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """a, b, shared, total of pairs of classes: the common elements, and the sizes of both sets together."""
     left = kept.select(F.col("no").alias("a"), F.col("grams").alias("ga"))
     right = kept.select(F.col("no").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(right, "b").join(left, "a")
-    common_size = F.size(F.array_intersect("ga", "gb"))
-    union = F.size("ga") + F.size("gb") - common_size
-    return both.where(common_size * t.denominator >= union * t.numerator).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").select(
+        *pairs.columns, F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"), (F.size("ga") + F.size("gb")).cast("long").alias("total"))
+
+
+def _are_linked(t: Fraction) -> Column:
+    return F.col("shared") * t.denominator >= (F.col("total") - F.col("shared")) * t.numerator
 
 
 def _fits(a: str, b: str, t: Fraction) -> Column:
@@ -165,24 +185,29 @@ def _may_link(x: str, y: str, t: Fraction) -> Column:
 def linked(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, digest (xxhash64 of the text), n_shingles, component_id (the smallest id reachable by links) per row, and
     whether the row ``stands`` for its component."""
+    with session.scratch(df.sparkSession) as written:
+        return session.written(_linked(df, n, threshold, text, key, written), "linked")
+
+
+def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, written) -> DataFrame:
     t = Fraction(threshold).limit_denominator(1000)
     if not 0 < t <= 1 or n < 1:
         raise ValueError("the threshold is above 0 and at most 1, n at least 1")
     docs = df.select(_id(key).alias("id"), _digest(text).alias("digest"), F.col(text).alias("text"))
     split = common.words(common.lower_ascii(F.col("text"))).alias("words")
-    rows = session.written(_classes(docs.select("id", "digest", split), n), "rows")
+    rows = written(_classes(docs.select("id", "digest", split), n), "rows")
     classes = rows.where("size > 0").groupBy("size", "d1", "d2").agg(
         F.min("id").alias("first"), F.min_by("digest", "id").alias("digest"))
-    classes = session.written(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
+    classes = written(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
     # 2. Classes that share a part with another class.
     shared = _signatures(docs.select(split), n, t)
     inside = F.expr("lag(d1) OVER (PARTITION BY part ORDER BY d1) <> d1 OR lead(d1) OVER (PARTITION BY part ORDER BY d1) <> d1")
-    alive = session.written(shared.withColumn("met", inside).where("met").select("d1").distinct(), "alive")
-    wanted = session.written(classes.join(alive, "d1").select("no", "size", "first", "digest", "d1", "d2"), "wanted")
+    alive = written(shared.withColumn("met", inside).where("met").select("d1").distinct(), "alive")
+    wanted = written(classes.join(alive, "d1").select("no", "size", "first", "digest", "d1", "d2"), "wanted")
     # 3. Their sets, and prefixes from the rarest n-gram.
     again = docs.join(wanted.select(F.col("first").alias("id"), "digest").distinct().hint("merge"), ["id", "digest"]).select(split)
     kept = _sets(again, n).join(wanted.select("no", "size", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["no"]).select("no", "size", "grams")
-    kept = session.written(kept, "sets")
+    kept = written(kept, "sets")
     each = kept.select("no", "size", F.explode("grams").alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     prefix = F.col("size") - F.ceil(F.col("size") * t.numerator / F.lit(float(t.denominator)) - 1e-9) + 1
@@ -191,37 +216,47 @@ def linked(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text
     lone = F.col("size") - F.size("held")
     places = (prefix - lone).cast("int")
     prefixes = held.where(places > 0).select("no", "size", lone.alias("lone"), F.slice("held.gram", F.lit(1), places).alias("prefix"))
-    prefixes = session.written(prefixes.withColumn("group", F.xxhash64("size", "lone", "prefix")), "prefixes")
+    prefixes = written(prefixes.withColumn("group", F.xxhash64("size", "lone", "prefix")), "prefixes")
     # 4. Groups, their lists, and stars.
-    groups = session.written(prefixes.groupBy("group").agg(
+    groups = written(prefixes.groupBy("group").agg(
         F.min("no").alias("head"), F.first("size").alias("size"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix")), "groups")
     posts = groups.select("group", "head", "size", "lone", F.posexplode("prefix").alias("nth", "gram"))
-    posts = session.written(posts.withColumn("place", F.col("lone") + F.col("nth")), "posts")
+    posts = written(posts.withColumn("place", F.col("lone") + F.col("nth")), "posts")
     members = prefixes.select("group", "no", "size")
     heads = posts.groupBy("gram").agg(F.min(F.struct("head", "size", "place")).alias("hub")).select("gram", "hub.*").withColumnsRenamed(
         {"head": "a", "size": "hub_size", "place": "hub_place"})
     stars = posts.join(heads, "gram").where(_may_link("", "hub_", t)).select("a", "group").distinct()
     own = prefixes.join(groups.select("group", F.col("head").alias("a")), "group").select("a", F.col("no").alias("b"))
     first = stars.join(members, "group").select("a", F.col("no").alias("b")).unionByName(own).where("a <> b").distinct()
-    edges = session.written(_verified(session.written(first, "stars"), kept, t), "edges")
-    known = graph.components(edges)
-    # What is in different components and meets in a list.
-    tagged = session.written(members.join(known.withColumnRenamed("node", "no"), "no", "left").select(
-        "group", "no", "size", F.coalesce("component", "no").alias("component")), "tagged")
-    held_by = tagged.select("group", "component").distinct()
-    lists = session.written(posts.select("group", "size", "place", "nth", "gram").join(held_by, "group"), "lists")
+    measured = written(_measured(written(first, "stars"), kept), "measured")
+    edges = measured.where(_are_linked(t)).select("a", "b")
+    known = graph.components(edges, written)
+    # What is in different components and meets in a list; ``far``: the distance to the first class of the own group.
+    distance = F.col("total") - 2 * F.col("shared")
+    far = own.join(measured, ["a", "b"]).select(F.col("b").alias("no"), distance.alias("far"))
+    tagged = members.join(known.withColumnRenamed("node", "no"), "no", "left").join(far, "no", "left")
+    tagged = written(tagged.select("group", "no", "size", F.coalesce("component", "no").alias("component"), F.coalesce("far", F.lit(0)).alias("far")), "tagged")
+    held_by = tagged.groupBy("group", "component").agg(F.count("*").alias("n"))
+    lists = written(posts.select("group", "head", "size", "place", "nth", "gram").join(held_by, "group"), "lists")
     mixed = lists.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    open_lists = session.written(lists.join(mixed, "gram").join(groups.select("group", "prefix"), "group"), "open")
+    open_lists = written(lists.join(mixed, "gram").join(groups.select("group", "prefix"), "group"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     # Members of one group meet at its first element, other groups at the first that both prefixes have.
     before = F.arrays_overlap(F.slice("x.prefix", F.lit(1), F.col("x.nth")), F.slice("y.prefix", F.lit(1), F.col("y.nth")))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component"))
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.component") < F.col("y.component")))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & smaller
                  & _may_link("x.", "y.", t) & ~before).select(
-        F.col("x.group").alias("ag"), F.col("x.component").alias("ac"), F.col("y.group").alias("bg"), F.col("y.component").alias("bc"))
-    side = {s: tagged.select(F.col("group").alias(f"{s}g"), F.col("component").alias(f"{s}c"), F.col("no").alias(s), F.col("size").alias(f"{s}s")) for s in "ab"}
-    rest = met.join(side["a"], ["ag", "ac"]).join(side["b"], ["bg", "bc"]).where(_fits("as", "bs", t)).select("a", "b").distinct()
-    more = session.written(_verified(session.written(rest, "rest"), kept, t), "edges")
-    whole = graph.components(edges.unionByName(more)).withColumnRenamed("node", "no")
+        F.col("x.group").alias("ag"), F.col("x.component").alias("ac"), F.col("y.group").alias("bg"), F.col("y.component").alias("bc"),
+        F.col("y.head").alias("b"), F.col("y.size").alias("bs"))
+    # The smaller side against the other group's first class, then against those of its members that are as far from that.
+    side = {s: tagged.select(F.col("group").alias(f"{s}g"), F.col("component").alias(f"{s}c"), F.col("no").alias(s), F.col("size").alias(f"{s}s"), "far") for s in "ab"}
+    probes = written(met.join(side["a"].drop("far"), ["ag", "ac"]).select("a", "b", "bg", "bc").distinct(), "probes")
+    probed = written(_measured(probes, kept).withColumn("apart", distance), "probed")
+    slack = F.floor(F.col("total") * (t.denominator - t.numerator) / F.lit(float(t.denominator + t.numerator)) + 1e-9)
+    near = F.abs(F.col("apart") - F.col("far")) <= slack  # all members of a group have one size, so ``total`` holds for each
+    rest = probed.drop("b").join(side["b"], ["bg", "bc"]).where(near).select("a", "b").distinct()
+    more = written(_measured(written(rest, "rest"), kept).where(_are_linked(t)).select("a", "b"), "edges")
+    whole = graph.components(edges.unionByName(more), written).withColumnRenamed("node", "no")
     # Ids: classes to components, rows to classes.
     placed = classes.join(whole, "no", "left").withColumn("component", F.coalesce("component", "no"))
     lowest = placed.groupBy("component").agg(F.min(F.struct("first", "digest")).alias("low"))

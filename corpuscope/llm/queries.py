@@ -100,6 +100,7 @@ def op9_license_scan(spark, d):
 
 @query
 def op6_jaccard_join(spark, d):
+    configure(spark, clean=True)
     found = jaccard.linked(table(spark, d, "documents"), n=3, threshold=Fraction(9, 10))
     return found.select("doc_id", "n_shingles", "component_id")
 
