@@ -150,14 +150,18 @@ def _signatures(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """no, size, grams: the set of each class, once per task (equal rows, of one id and text, may lie in several)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             offsets, grams = sets(batch.column("words"), n)
-            one, two = digests(offsets, grams)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(one), _signed(two), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(grams))], ["d1", "d2", "grams"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(grams))
+            no = batch.column("no").to_numpy()
+            fresh = np.flatnonzero(np.append(no[:1] != last, no[1:] != no[:-1]))  # the join has brought equal rows together
+            last = no[-1] if len(no) else last
+            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("size"), lists], ["no", "size", "grams"]).take(pa.array(fresh))
 
-    return docs.select("words").mapInArrow(run, "d1 long, d2 long, grams array<long>")
+    return docs.mapInArrow(run, "no long, size long, grams array<long>")
 
 
 def _measured(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -165,7 +169,8 @@ def _measured(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     left = kept.select(F.col("no").alias("a"), F.col("grams").alias("ga"))
     right = kept.select(F.col("no").alias("b"), F.col("grams").alias("gb"))
     return pairs.join(right, "b").join(left, "a").select(
-        *pairs.columns, F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"), (F.size("ga") + F.size("gb")).cast("long").alias("total"))
+        *pairs.columns, F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"),
+        (F.size("ga") + F.size("gb")).cast("long").alias("total")).distinct()
 
 
 def _are_linked(t: Fraction) -> Column:
@@ -203,15 +208,14 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     shared = _signatures(docs.select(split), n, t)
     inside = F.expr("lag(d1) OVER (PARTITION BY part ORDER BY d1) <> d1 OR lead(d1) OVER (PARTITION BY part ORDER BY d1) <> d1")
     alive = written(shared.withColumn("met", inside).where("met").select("d1").distinct(), "alive")
-    wanted = written(classes.join(alive, "d1").select("no", "size", "first", "digest", "d1", "d2"), "wanted")
-    # 3. Their sets, and prefixes from the rarest n-gram.
-    again = docs.join(wanted.select(F.col("first").alias("id"), "digest").distinct().hint("merge"), ["id", "digest"]).select(split)
-    kept = _sets(again, n).join(wanted.select("no", "size", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["no"]).select("no", "size", "grams")
-    kept = written(kept, "sets")
+    wanted = written(classes.join(alive, "d1").select("no", "size", "first", "digest"), "wanted")
+    # 3. Their sets, and prefixes from the rarest n-gram. Sets are larger than texts, so they are made where they are written.
+    again = docs.join(wanted.select(F.col("first").alias("id"), "digest", "no", "size").hint("merge"), ["id", "digest"]).select("no", "size", split)
+    kept = written(_sets(again, n), "sets")
     each = kept.select("no", "size", F.explode("grams").alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     prefix = F.col("size") - F.ceil(F.col("size") * t.numerator / F.lit(float(t.denominator)) - 1e-9) + 1
-    held = each.join(counts, "gram").groupBy("no", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("held"))
+    held = each.join(counts, "gram").groupBy("no", "size").agg(F.array_sort(F.collect_set(F.struct("n", "gram"))).alias("held"))
     # Elements of one class alone are the rarest of all: they take the first places of the prefix.
     lone = F.col("size") - F.size("held")
     places = (prefix - lone).cast("int")
@@ -236,16 +240,22 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     far = own.join(measured, ["a", "b"]).select(F.col("b").alias("no"), distance.alias("far"))
     tagged = members.join(known.withColumnRenamed("node", "no"), "no", "left").join(far, "no", "left")
     tagged = written(tagged.select("group", "no", "size", F.coalesce("component", "no").alias("component"), F.coalesce("far", F.lit(0)).alias("far")), "tagged")
-    held_by = tagged.groupBy("group", "component").agg(F.count("*").alias("n"))
-    lists = written(posts.select("group", "head", "size", "place", "nth", "gram").join(held_by, "group"), "lists")
+    held_by = tagged.groupBy("group", "component").agg(F.count("*").alias("n"), F.max("far").alias("spread"))
+    # How far the first class of a group is from that of its list: where both are known, they bound the distance of two groups.
+    centre = measured.select("a", F.col("b").alias("head"), distance.alias("off"))
+    placed = posts.join(heads.select("gram", "a"), "gram").join(centre, ["a", "head"], "left").select(
+        "group", "head", "size", "place", "nth", "gram", F.when(F.col("a") == F.col("head"), 0).otherwise(F.col("off")).alias("off"))
+    lists = written(placed.join(held_by, "group"), "lists")
     mixed = lists.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     open_lists = written(lists.join(mixed, "gram").join(groups.select("group", "prefix"), "group"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     # Members of one group meet at its first element, other groups at the first that both prefixes have.
     before = F.arrays_overlap(F.slice("x.prefix", F.lit(1), F.col("x.nth")), F.slice("y.prefix", F.lit(1), F.col("y.nth")))
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.component") < F.col("y.component")))
+    least = F.abs(F.col("x.off") - F.col("y.off")) - F.col("x.spread") - F.col("y.spread")
+    bound = least * (t.denominator + t.numerator) <= (F.col("x.size") + F.col("y.size")) * (t.denominator - t.numerator)
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & smaller
-                 & _may_link("x.", "y.", t) & ~before).select(
+                 & _may_link("x.", "y.", t) & F.coalesce(bound, F.lit(True)) & ~before).select(
         F.col("x.group").alias("ag"), F.col("x.component").alias("ac"), F.col("y.group").alias("bg"), F.col("y.component").alias("bc"),
         F.col("y.head").alias("b"), F.col("y.size").alias("bs"))
     # The smaller side against the other group's first class, then against those of its members that are as far from that.
@@ -258,9 +268,9 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     more = written(_measured(written(rest, "rest"), kept).where(_are_linked(t)).select("a", "b"), "edges")
     whole = graph.components(edges.unionByName(more), written).withColumnRenamed("node", "no")
     # Ids: classes to components, rows to classes.
-    placed = classes.join(whole, "no", "left").withColumn("component", F.coalesce("component", "no"))
-    lowest = placed.groupBy("component").agg(F.min(F.struct("first", "digest")).alias("low"))
-    named = placed.join(lowest, "component").select("size", "d1", "d2", F.col("low.first").alias("component_id"), F.col("low.digest").alias("low_digest"))
+    named = classes.join(whole, "no", "left").withColumn("component", F.coalesce("component", "no"))
+    lowest = named.groupBy("component").agg(F.min(F.struct("first", "digest")).alias("low"))
+    named = named.join(lowest, "component").select("size", "d1", "d2", F.col("low.first").alias("component_id"), F.col("low.digest").alias("low_digest"))
     known_rows = rows.join(named, ["size", "d1", "d2"], "left")
     shown = [F.when(F.col(c) != LAST, F.col(c)) for c in ("id", "component_id")]
     stands = F.col("low_digest").isNull() | ((F.col("id") == F.col("component_id")) & (F.col("digest") == F.col("low_digest")))
