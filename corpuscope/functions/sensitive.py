@@ -22,6 +22,8 @@ class SensitivePattern:
     value: str
     after: str
     flags: str = "(?i)"
+    # Whether some match may be empty; such a match is no hit.
+    may_be_empty: bool = False
     # Lower-case texts one of which every match contains; none: unknown. They only spare the
     # pattern search of texts that cannot match.
     hints: tuple[str, ...] = ()
@@ -61,7 +63,8 @@ BUILT_IN_PATTERNS = [
 
 
 def _problem(expression: str) -> str | None:
-    """What the engine that runs the patterns has against an expression."""
+    """What the engine that runs the patterns has against an expression. An expression that is seen to match nothing at all
+    is most likely a mistake and reported; hits do not rely on it, as empty matches are no hits."""
     spark = SparkSession.getActiveSession()
     if spark is None:
         raise RuntimeError("custom patterns are compiled by Spark's engine, which needs an active session")
@@ -85,7 +88,7 @@ def custom_patterns(expressions: Iterable[str]) -> list[SensitivePattern]:
         if problem := _problem(expression):
             warnings.warn(f"invalid custom pattern {expression!r}: {problem}", stacklevel=2)
             continue
-        valid.append(SensitivePattern(expression, "", f"{expression}", "", "(?iu)"))
+        valid.append(SensitivePattern(expression, "", f"{expression}", "", "(?iu)", may_be_empty=True))
     return valid
 
 
@@ -107,35 +110,40 @@ def _named(pattern: SensitivePattern):
     return row
 
 
-def _possible(content: Column, pattern: SensitivePattern) -> Column:
-    if not pattern.hints:
-        return F.lit(True)
-
-    def any_hint(lowered: Column) -> Column:
-        hit = lowered.contains(pattern.hints[0])
-        for hint in pattern.hints[1:]:
-            hit = hit | lowered.contains(hint)
-        return hit
-
-    return tx.let(F.lower(content), any_hint)
+def _possible(lowered: Column, pattern: SensitivePattern) -> Column:
+    hit = F.lit(not pattern.hints)
+    for hint in pattern.hints:
+        hit = hit | lowered.contains(hint)
+    return hit
 
 
 def found(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT_IN_PATTERNS)) -> Column:
     """All matches of all patterns, in pattern order."""
-    per_pattern = []
-    for pattern in patterns:
+    patterns = list(patterns)
+    none = F.array().cast(MATCH_TYPE)
+
+    def of(pattern: SensitivePattern, lowered: Column) -> Column:
         hits = matches.located(content, pattern.regex, pattern.groups)
-        per_pattern.append(F.when(
-            _possible(content, pattern), F.transform(hits, _named(pattern)).cast(MATCH_TYPE)
-        ).otherwise(F.array().cast(MATCH_TYPE)))
-    return F.concat(*per_pattern) if per_pattern else F.array().cast(MATCH_TYPE)
+        return F.when(_possible(lowered, pattern), F.transform(hits, _named(pattern)).cast(MATCH_TYPE)).otherwise(none)
+
+    if not patterns:
+        return none
+    return tx.let(F.lower(content), lambda lowered: F.concat(*[of(pattern, lowered) for pattern in patterns]))
 
 
 def is_sensitive(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT_IN_PATTERNS)) -> Column:
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | (_possible(content, pattern) & content.rlike(pattern.regex))
-    return hit
+    patterns = list(patterns)
+
+    def any_hit(lowered: Column) -> Column:
+        hit = F.lit(False)
+        for pattern in patterns:
+            found_one = content.rlike(pattern.regex)
+            if pattern.may_be_empty:
+                found_one = found_one & F.exists(F.regexp_extract_all(content, F.lit(pattern.regex), F.lit(0)), lambda m: m != "")
+            hit = hit | (_possible(lowered, pattern) & found_one)
+        return hit
+
+    return tx.let(F.lower(content), any_hit)
 
 
 def redacted(content: Column, patterns: Iterable[SensitivePattern] = tuple(BUILT_IN_PATTERNS)) -> Column:

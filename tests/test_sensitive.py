@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.functions import sensitive
+from corpuscope.functions import matches, sensitive
 from corpuscope.operators import filters, rollup
 
 TEXT = ("é start\nAPI_KEY = \"k-1\"; 'auth-token': 'tok'\npwd=\"p\" password = \"password\"\n"
@@ -92,3 +92,34 @@ def test_texts_with_the_internal_marks(make_files):
         got = sorted((r.value, r.start, r.end, r.value_start) for r in rows if r.relative_path == path)
         assert [g[1:] for g in sorted(got, key=lambda g: g[1])] == [w[1:] for w in wanted]
     assert sorted(r.value for r in rows if r.relative_path == "a") == sorted(w[0] for w in wanted)
+
+
+EMPTY_ALTERNATIVES = ["(?=q)|tok", "tok|(?=q)|$", "(?<=x)|q ", "(?:t|q)(?=o)|(?! )", "o?"]
+
+
+@pytest.mark.parametrize("mark", ["", matches.OPEN, matches.CLOSE + "z" + matches.NEXT])
+@pytest.mark.parametrize("expression", EMPTY_ALTERNATIVES)
+def test_empty_matches_are_no_hits_and_move_nothing(spark, expression, mark):
+    """Against the engine's own matcher."""
+    texts = [mark + x for x in ("q tok x tok y", "tok", "q", "", "xq qtok\n q  tokq", "é q tok", "ooo")]
+    pattern = sensitive.SensitivePattern(expression, "", expression, "", "(?iu)", may_be_empty=True)
+    compiled = spark._jvm.java.util.regex.Pattern.compile(f"(?iu){expression}")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string").select(
+        "i", sensitive.found(F.col("c"), [pattern]).alias("f"), sensitive.redacted(F.col("c"), [pattern]).alias("r"),
+        sensitive.is_sensitive(F.col("c"), [pattern]).alias("s")).orderBy("i").collect()
+    for text, row in zip(texts, rows, strict=True):
+        matcher, wanted, masked = compiled.matcher(text), [], list(text)
+        while matcher.find():
+            if matcher.end() > matcher.start():
+                wanted.append((matcher.group(), matcher.start(), matcher.end()))
+                masked[matcher.start():matcher.end()] = "*" * (matcher.end() - matcher.start())
+        assert [(h.matched, h.start, h.end) for h in row.f] == wanted
+        assert row.r == "".join(masked) and row.s == bool(wanted)
+
+
+def test_an_accepted_pattern_with_an_empty_alternative_leaks_nothing(make_files):
+    patterns = sensitive.custom_patterns(["(?=q)|tok"])
+    out = filters.apply_sensitive_policy(make_files({"a": "q tok x tok y", "b": "q only"}), "redact", patterns).collect()
+    assert {r.content for r in out} == {"q *** x *** y", "q only"}
+    kept = filters.apply_sensitive_policy(make_files({"a": "q tok", "b": "q only"}), "skip", patterns).collect()
+    assert [r.relative_path for r in kept] == ["b"]
