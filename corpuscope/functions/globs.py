@@ -6,6 +6,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from pyspark.sql import Column, functions as F
+
 _CLASS = re.compile(r"\[[!^]?\]?[^\]]*\]")
 
 
@@ -44,6 +46,38 @@ def shell_regex(pattern: str) -> str:
     return "".join(rendered)
 
 
+# Wildcards, whole classes, literal runs, and brackets that open no class.
+_TOKEN = r"(?s)\[!?\]?[^\]]*\]|\*+|\?|[^*?\[]+|\["
+
+
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([^\p{L}\p{N}\s/_])", r"\\$1")
+
+
+def _class_column(token: Column) -> Column:
+    """A class without its reversed ranges; one that is left with nothing matches nothing, or if negated anything."""
+    negated = token.startswith("[!")
+    body = F.substring(token, F.when(negated, 3).otherwise(2), F.length(token) - F.when(negated, 3).otherwise(2))
+    items = F.regexp_extract_all(body, F.lit(r"(?s).-.|."), F.lit(0))
+
+    def is_range(item: Column) -> Column:
+        return F.length(item) == 3
+
+    sound = F.filter(items, lambda item: ~is_range(item) | (F.substring(item, 1, 1) <= F.substring(item, 3, 1)))
+    spelled = F.array_join(F.transform(sound, lambda item: F.when(is_range(item), F.concat(
+        _escaped(F.substring(item, 1, 1)), F.lit("-"), _escaped(F.substring(item, 3, 1)))).otherwise(_escaped(item))), "")
+    return (F.when(spelled != "", F.concat(F.when(negated, "[^").otherwise("["), spelled, F.lit("]")))
+            .when(negated, r"[\s\S]").otherwise("(?!)"))
+
+
+def shell_regex_column(pattern: Column) -> Column:
+    """``shell_regex`` of a column of globs, which may hold anything. Not anchored."""
+    tokens = F.regexp_extract_all(pattern, F.lit(_TOKEN), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda token: (
+        F.when(token.startswith("*"), r"[\s\S]*").when(token == "?", r"[\s\S]")
+        .when(token.startswith("[") & (F.length(token) > 1), _class_column(token)).otherwise(_escaped(token)))), "")
+
+
 def expand_braces(pattern: str) -> list[str]:
     """``a.{x,y}`` -> ``a.x``, ``a.y`` (also nested)."""
     found = re.search(r"\{([^{}]*,[^{}]*)\}", pattern)
@@ -95,20 +129,14 @@ def path_regex(pattern: str) -> str:
     return "^(?:" + "|".join(choices) + ")$"
 
 
+# How what is left of an ignore line begins, and the globs that it then stands for; the first that fits.
+_LINE_SHAPES = [(re.compile(start), shapes) for start, shapes in (
+    ("[*/]", ["{}"]), (".*/", ["**/{}"]), ("", ["{}/**", "{}"]))]
+
+
 def ignore_patterns(lines: Iterable[str]) -> list[str]:
-    """Ignore-file lines to shell globs: blanks and comments dropped, outer slashes removed;
-    a bare name also covers what lies below it, other patterns match at any depth."""
-    globs: list[str] = []
-    for line in lines:
-        text = line.strip()
-        if not text or text[0] == "#":
-            continue
-        text = text.rstrip("/")
-        text = text[1:] if text.startswith("/") else text
-        if text.startswith("*"):
-            globs.append(text)
-        elif "/" in text:
-            globs.append(text if text.startswith("/") else f"**/{text}")
-        else:
-            globs += [f"{text}/**", text]
-    return globs
+    """The globs of ignore-file lines; ``sources.ignore.rules_from_lines`` is the same for a table of lines."""
+    rules = (line.strip() for line in lines)
+    plain = [rule.rstrip("/").removeprefix("/") for rule in rules if not re.match("#|$", rule)]
+    return [shape.replace("{}", rule) for rule in plain
+            for shape in next(shapes for start, shapes in _LINE_SHAPES if start.match(rule))]

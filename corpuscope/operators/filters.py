@@ -22,6 +22,12 @@ def not_ignored(files: DataFrame, dialect: str = "tree", path: str = "relative_p
     return files.filter(~paths.matches_any(F.col(path), patterns))
 
 
+def rule_regex(body):
+    """The expression, over a whole path, of a rule's (text or column): it ends at the path's end or at a directory's."""
+    before, after = "^(?:", r")(?:\z|(?=/)|(?<=/))"
+    return f"{before}{body}{after}" if isinstance(body, str) else F.concat(F.lit(before), body, F.lit(after))
+
+
 def rule_hit(path: Column, patterns: Sequence[str]) -> Column:
     """True when the path or one of its ancestor directories (with or without a trailing
     slash) matches an ignore rule as a whole."""
@@ -29,7 +35,7 @@ def rule_hit(path: Column, patterns: Sequence[str]) -> Column:
     for at in range(0, len(patterns), RULES_PER_EXPRESSION):
         rules = patterns[at: at + RULES_PER_EXPRESSION]
         either = "|".join(globs.shell_regex(p) for p in rules)
-        hit = hit | path.rlike(rf"^(?:{either})(?:\z|(?=/)|(?<=/))")
+        hit = hit | path.rlike(rule_regex(either))
     return hit
 
 

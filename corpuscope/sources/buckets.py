@@ -34,8 +34,7 @@ class Buckets:
 
     def manifest(self, spark: SparkSession, batch: int | None = None) -> list[Row]:
         """The buckets, as they were before ``batch``; one empty bucket when there are none."""
-        found = versions.read_before(spark, f"{self.base}/manifest", batch, MANIFEST).collect()
-        return sorted(found) or [Row(depth=0, prefix=0, batch=-1, n=0)]
+        return sorted(_few(versions.read_before(spark, f"{self.base}/manifest", batch, MANIFEST))) or [Row(depth=0, prefix=0, batch=-1, n=0)]
 
     def read(self, spark: SparkSession, batch: int | None = None) -> DataFrame:
         return self._of(spark, self.manifest(spark, batch))
@@ -67,8 +66,8 @@ class Buckets:
             spark.createDataFrame(slots, "slot bigint, bucket string"), "slot").drop("slot")
         folder = f"{self.base}/data/batch={batch}"
         placed.repartition(len(fresh), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        counted = spark.read.schema(f"{self.columns}, bucket string").parquet(folder).groupBy("bucket").count().collect()
-        n = {row["bucket"]: row["count"] for row in counted}
+        counted = spark.read.schema(f"{self.columns}, bucket string").parquet(folder).groupBy("bucket").agg(F.count("*").alias("n"))
+        n = {row.bucket: row.n for row in _few(counted)}
         gone = {(entry.depth, entry.prefix) for entry in touched}
         kept = [tuple(entry) for entry in entries if (entry.depth, entry.prefix) not in gone]
         kept += [(d, p, batch if n.get(f"{d}-{p}") else -1, n.get(f"{d}-{p}", 0)) for d, p in fresh]
@@ -87,7 +86,7 @@ class Buckets:
     def _counted(self, keys: DataFrame, entries: list[Row]) -> dict[tuple[int, int], int]:
         """How many of the keys fall into each bucket."""
         depth = max(entry.depth for entry in entries)
-        slots = {row.slot: row.n for row in keys.groupBy(self._slot(depth).alias("slot")).agg(F.count("*").alias("n")).collect()}
+        slots = {row.slot: row.n for row in _few(keys.groupBy(self._slot(depth).alias("slot")).agg(F.count("*").alias("n")))}
         return {(e.depth, e.prefix): sum(slots.get(slot, 0) for slot in _slots(e.depth, e.prefix, depth)) for e in entries}
 
     def _touched(self, keys: DataFrame, entries: list[Row]) -> list[Row]:
@@ -100,7 +99,7 @@ class Buckets:
         live = {at for _, _, at in kept}
         older = [n for n in versions.finished_versions(spark, f"{self.base}/manifest") if n <= batch][:-1]
         for version in older:
-            for entry in versions.read_before(spark, f"{self.base}/manifest", version, MANIFEST).collect():
+            for entry in _few(versions.read_before(spark, f"{self.base}/manifest", version, MANIFEST)):
                 if entry.batch not in live:
                     versions.remove(spark, f"{self.base}/data/batch={entry.batch}")
                 elif (entry.depth, entry.prefix, entry.batch) not in kept:
@@ -111,3 +110,8 @@ class Buckets:
 def _slots(depth: int, prefix: int, deepest: int) -> list[int]:
     """The values of ``deepest`` hash bits that belong to a bucket."""
     return [prefix + (i << depth) for i in range(1 << (deepest - depth))]
+
+
+def _few(rows: DataFrame) -> list[Row]:
+    """At most one row per bucket, as a list."""
+    return rows.agg(F.collect_list(F.struct(*rows.columns)).alias("all")).first()["all"]

@@ -191,6 +191,18 @@ SELECT relative_path FROM files WHERE len(list_filter(list_concat([relative_path
   list_transform(range(1, len(string_split(relative_path, '/'))), lambda i: array_to_string(string_split(relative_path, '/')[1:i], '/')),
   list_transform(range(1, len(string_split(relative_path, '/'))), lambda i: array_to_string(string_split(relative_path, '/')[1:i], '/') || '/')),
   lambda p: regexp_matches(p, {_RULES}))) = 0""")
+sql("filter_rule_table", FILES, f"""
+SELECT relative_path FROM files WHERE relative_path NOT IN (
+  SELECT relative_path FROM (
+    SELECT relative_path, relative_path AS part FROM files
+    UNION ALL SELECT relative_path, array_to_string(string_split(relative_path, '/')[1:depth], '/') || slash
+    FROM (SELECT relative_path, unnest(range(1, len(string_split(relative_path, '/')))) AS depth FROM files), (VALUES (''), ('/')) AS slashes(slash)
+  ) AS parts, (
+    SELECT CASE doc_id % 5 WHEN 0 THEN relative_path WHEN 1 THEN directory || '/*_' || doc_id || '[.-]*' WHEN 2 THEN '*/doc_' || doc_id || ext
+      WHEN 3 THEN 'src?/*_' || doc_id || '.*' ELSE '*_' || doc_id || ext END AS pattern
+    FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    UNION ALL SELECT unnest({listing(globs.ignore_patterns(q.IGNORE_LINES))})
+  ) AS patterns WHERE part GLOB pattern)""")
 sql("filter_globs", FILES, f"""
 SELECT relative_path FROM files WHERE contains('/' || directory || '/', '/.venv/') OR (
   file_name NOT LIKE '%.env' AND file_name NOT LIKE '%.lock'

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpuscope import fixed, session
 from corpuscope.functions import code, globs, paths, sensitive
 from corpuscope.functions import text as tx
-from corpuscope.operators import changes, filters, lines, order, reuse, rollup, snapshots, symbols, tags, xref
+from corpuscope.operators import changes, filters, lines, order, reuse, rollup, rules, snapshots, symbols, tags, xref
 from corpuscope.options import ReportOptions
 from corpuscope.plans import sections, toc
 from corpuscope.sources import files as fl
@@ -175,6 +175,20 @@ def filter_ignore_rules(spark, d):
     return filters.outside_rules(_docs(spark, d), globs.ignore_patterns(IGNORE_LINES)).select("relative_path")
 
 
+@query
+def filter_rule_table(spark, d):
+    """Rules of every shape for the documents labelled toxic, and the fixed ones."""
+    rows = _docs(spark, d).join(v.table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id")
+    number = F.col("doc_id").cast("string")
+    shape = F.element_at(F.array(
+        PATH(), F.concat(F.col("directory"), F.lit("/*_"), number, F.lit("[.-]*")), F.concat(F.lit("*/doc_"), number, F.col("ext")),
+        F.concat(F.lit("src?/*_"), number, F.lit(".*")), F.concat(F.lit("*_"), number, F.col("ext"))),
+        (F.col("doc_id") % 5 + 1).cast("int"))
+    fixed_rules = spark.createDataFrame([(rule,) for rule in globs.ignore_patterns(IGNORE_LINES)], "pattern string")
+    table = rows.select(shape.alias("pattern")).unionByName(fixed_rules)
+    return rules.outside_rule_table(_docs(spark, d), table).select("relative_path")
+
+
 @query
 def filter_globs(spark, d):
     return filters.outside_globs(_docs(spark, d)).select("relative_path")
