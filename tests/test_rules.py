@@ -26,7 +26,7 @@ def test_every_shape_against_brute_force(spark):
     given = ["/".join(p) for n in (1, 2, 3) for p in itertools.product(names, repeat=n)] + ["a b/ü.md", "deep/er/and/deeper/b.md"]
     patterns = ["a/b.md", "a", ".env/", "a/*", "a/b*/md", "*.md", "*.tar.gz", "*/md", "**/.env", "b.*/a", "?", "[ab]", "a/[!a]", "x[[]1].c", "*/b.md/",
                 "a.b/**", "*", "zzz", "", "a//", "*er/b.md", "deep/er/*/b.md", "* *", "[!.]*gz", "*.", "./a", "a/b.md/a*",
-                "[z-a]", "[!z-a]", "[]a]", "[a-", "a[", "[!]a]*", "[a-c"* *", "[!.]*gz", "*.", "./a", "a/b.md/a*"]&a].md", "[\\\\^a]", "x[[]1]*", "[.-b]*"]
+                "[z-a]", "[!z-a]", "[]a]", "[a-", "a[", "[!]a]*", "[a-c&&a].md", "[\\^a]", "x[[]1]*", "[.-b]*"]
     for pattern in patterns:
         assert kept(spark, given, [pattern]) == sorted(p for p in given if not hit(p, [pattern])), pattern
 
