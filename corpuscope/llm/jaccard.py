@@ -2,10 +2,10 @@
 
 1. Documents with equal sets are one *class*; only classes are compared.
 2. Classes that can have a partner at all. Two linked sets differ in at most D elements, with D from their
-   sizes. Elements are dealt to more than D parts by their hash, so a linked pair agrees in some whole
-   part: a class that shares no part with another class of a fitting size has no link. Most classes end
-   here, at the price of one row per part, and no frequent n-gram gathers rows, since a whole part
-   has to agree.
+   sizes. Elements are dealt to m > D parts by their hash, so a linked pair agrees in m - D whole
+   parts: a class that shares fewer parts with other classes of a fitting size has no link. Most classes end
+   here, also those that share a passage with many others, at the price of one row per part, and no frequent n-gram
+   gathers rows, since a whole part has to agree.
 3. Prefixes. The n-grams of the remaining classes are counted and ordered from the rarest, and linked
    sets share one in their prefixes. What one class alone has cannot be shared and is left out of its prefix.
    Classes with the same prefix and size are one *group*.
@@ -76,16 +76,21 @@ def size_classes(largest: int, threshold: Fraction) -> list[int]:
 
 
 def parts(offsets: np.ndarray, grams: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature): the parts of each set, for the class of its size and, as the smaller of a pair, the next.
+    """(row, signature) of the parts of each set."""
+    return ruled_parts(offsets, grams, threshold)[:2]
+
+
+def ruled_parts(offsets: np.ndarray, grams: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, rule): the parts of each set, for the class of its size and, as the smaller of a pair, the next.
 
     In class c, with sizes up to H, D = floor(2 H (1 - t) / (1 + t)) and m > D parts. At least m - D parts of a linked
-    pair agree. If at most m - D - 1 parts of a set are empty, one that agrees is not, so empty parts
-    need a signature only in sets that have more of them."""
+    pair agree. Empty parts need no signature in a set that has fewer of them than that; then m - D less the empty ones agree
+    among the others. ``rule`` is twice the number that has to agree, and 1 more for the next class."""
     sizes = np.diff(offsets)
     bounds = np.array(size_classes(int(sizes.max(initial=1)), threshold))
     own = np.searchsorted(bounds, sizes, side="right") - 1
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    found_rows, found = [], []
+    found = []
     for ahead in (0, 1):
         at = np.maximum(own, 0) + ahead
         differ = np.array([int(2 * (int(b) - 1) * (1 - threshold) / (1 + threshold)) for b in bounds[1:]] + [0])[at]
@@ -99,12 +104,13 @@ def parts(offsets: np.ndarray, grams: np.ndarray, threshold: Fraction) -> tuple[
         filled = np.bincount(keys, minlength=total).astype(np.int64) > 0
         of = np.repeat(np.arange(len(sizes)), m)
         empty = np.bincount(of[~filled], minlength=len(sizes))
-        wanted = filled | (empty > m - differ - 1)[of]
+        every = empty > m - differ - 1
+        wanted = filled | every[of]
         place = np.arange(total) - base[of]
         signature = w.mixed(_sums(w.mixed(grams), keys, total) + salt[of] * (place + 1).astype(np.uint64))
-        found_rows.append(of[wanted])
-        found.append(signature[wanted])
-    return np.concatenate(found_rows), np.concatenate(found)
+        needed = np.where(every, m - differ, m - differ - empty)
+        found.append((of[wanted], signature[wanted], 2 * needed[of[wanted]] + ahead))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -143,10 +149,10 @@ def _signatures(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             d1, own = d1[fresh], np.zeros(len(sizes), bool)
             own[fresh] = True
             grams, offsets = grams[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[fresh])])
-            rows, signature = parts(offsets, grams, threshold)
-            yield pa.RecordBatch.from_arrays([_signed(d1[rows]), _signed(signature)], ["d1", "part"])
+            rows, signature, rule = ruled_parts(offsets, grams, threshold)
+            yield pa.RecordBatch.from_arrays([_signed(d1[rows]), pa.array(rule, pa.int32()), _signed(signature)], ["d1", "rule", "part"])
 
-    return docs.select("words").mapInArrow(run, "d1 long, part long")
+    return docs.select("words").mapInArrow(run, "d1 long, rule int, part long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -204,10 +210,11 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     classes = rows.where("size > 0").groupBy("size", "d1", "d2").agg(
         F.min("id").alias("first"), F.min_by("digest", "id").alias("digest"))
     classes = written(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
-    # 2. Classes that share a part with another class.
+    # 2. Classes that share enough parts with others. (Copies of a class in other tasks may count a part twice, so more stay.)
     shared = _signatures(docs.select(split), n, t)
     inside = F.expr("lag(d1) OVER (PARTITION BY part ORDER BY d1) <> d1 OR lead(d1) OVER (PARTITION BY part ORDER BY d1) <> d1")
-    alive = written(shared.withColumn("met", inside).where("met").select("d1").distinct(), "alive")
+    met_parts = shared.withColumn("met", inside).where("met").groupBy("d1", "rule").agg(F.count("*").alias("n"))
+    alive = written(met_parts.where("n >= floor(rule / 2)").select("d1").distinct(), "alive")
     wanted = written(classes.join(alive, "d1").select("no", "size", "first", "digest"), "wanted")
     # 3. Their sets, and prefixes from the rarest n-gram. Sets are larger than texts, so they are made where they are written.
     again = docs.join(wanted.select(F.col("first").alias("id"), "digest", "no", "size").hint("merge"), ["id", "digest"]).select("no", "size", split)
