@@ -22,6 +22,7 @@ from corpuscope.llm import common, jaccard, langid, packing, substring
 
 LIKELY = 0.5        # least score of a predicted language
 SEQUENCE = 1024     # tokens
+SHORT_BATCH = 150   # texts whose sets and parts, several times their size, a worker holds at once
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.configure(spark, clean=True)
+    common.configure(spark, batch_rows=SHORT_BATCH, clean=True)
     return jaccard.one_of_each(docs, n=5, threshold=Fraction(4, 5)).select(*docs.columns)
 
 
