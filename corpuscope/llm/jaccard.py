@@ -13,9 +13,9 @@
    in one set is not in the other, so both places together may not exceed the D of the two sizes. First each list of groups is compared with the first
    of its classes only (a star), which joins the copies of one text without all their pairs; a list whose groups are in
    one component is done. Of what is left, in different components, the members of the smaller side are measured against the
-   other group's first class; that group's members, whose own distance to it is known, are expanded only where the
-   two distances differ by no more than D, and verified. So texts near a large group, but not linked with it, don't
-   meet all of its members.
+   other group's first class, and what is linked so becomes one component; members of components that still differ
+   are expanded only where both are about as far from that first class, and where a histogram of their elements allows
+   a link. So texts near a large group, but not linked with it, are not verified against all of its members.
 
 Every link decides over the components, though links inside a component are not all written down. Sets are
 compared as 64-bit hashes of n-grams; equal sets by 128 bits.
@@ -155,8 +155,23 @@ def _signatures(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     return docs.select("words").mapInArrow(run, "d1 long, rule int, part long")
 
 
+CELLS = 64
+
+
+def histograms(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """How many elements of each set fall into each of ``CELLS`` cells by their hash. Two sets differ in no fewer elements than
+    their histograms do."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    cell = (w.mixed(grams) >> np.uint64(58)).astype(np.int64)
+    return np.bincount(rows * CELLS + cell, minlength=(len(offsets) - 1) * CELLS).astype(np.int32)
+
+
+def _differ(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """no, size, grams: the set of each class, once per task (equal rows, of one id and text, may lie in several)."""
+    """no, size, grams, cells: the set of each class and its histogram, once per task (equal rows, of one id and text, may lie in several)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
@@ -165,9 +180,11 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             no = batch.column("no").to_numpy()
             fresh = np.flatnonzero(np.append(no[:1] != last, no[1:] != no[:-1]))  # the join has brought equal rows together
             last = no[-1] if len(no) else last
-            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("size"), lists], ["no", "size", "grams"]).take(pa.array(fresh))
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * CELLS
+            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(histograms(offsets, grams)))
+            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("size"), lists, cells], ["no", "size", "grams", "cells"]).take(pa.array(fresh))
 
-    return docs.mapInArrow(run, "no long, size long, grams array<long>")
+    return docs.mapInArrow(run, "no long, size long, grams array<long>, cells array<int>")
 
 
 def _measured(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -264,14 +281,36 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & smaller
                  & _may_link("x.", "y.", t) & F.coalesce(bound, F.lit(True)) & ~before).select(
         F.col("x.group").alias("ag"), F.col("x.component").alias("ac"), F.col("y.group").alias("bg"), F.col("y.component").alias("bc"),
-        F.col("y.head").alias("b"), F.col("y.size").alias("bs"))
-    # The smaller side against the other group's first class, then against those of its members that are as far from that.
-    side = {s: tagged.select(F.col("group").alias(f"{s}g"), F.col("component").alias(f"{s}c"), F.col("no").alias(s), F.col("size").alias(f"{s}s"), "far") for s in "ab"}
-    probes = written(met.join(side["a"].drop("far"), ["ag", "ac"]).select("a", "b", "bg", "bc").distinct(), "probes")
-    probed = written(_measured(probes, kept).withColumn("apart", distance), "probed")
-    slack = F.floor(F.col("total") * (t.denominator - t.numerator) / F.lit(float(t.denominator + t.numerator)) + 1e-9)
-    near = F.abs(F.col("apart") - F.col("far")) <= slack  # all members of a group have one size, so ``total`` holds for each
-    rest = probed.drop("b").join(side["b"], ["bg", "bc"]).where(near).select("a", "b").distinct()
+        F.col("y.head").alias("b"), F.col("y.size").alias("bs"), F.col("y.spread").alias("spread"))
+    # The smaller side against the other group's first class; what is linked so is one component from here on. Pairs whose
+    # histograms differ by more than links do are none. All members of a group have one size.
+    cells = kept.select("no", "cells").dropDuplicates(["no"])
+    tagged = written(tagged.join(cells, "no"), "celled")
+
+    def at_most(difference: Column) -> Column:
+        return difference * (t.denominator + t.numerator) <= (F.col("a_size") + F.col("b_size")) * (t.denominator - t.numerator)
+
+    asking = tagged.select(F.col("group").alias("ag"), F.col("component").alias("ac"), F.col("no").alias("a"), F.col("size").alias("a_size"),
+                           F.col("cells").alias("a_cells")).alias("x")
+    asked = met.select("ag", "ac", "b", "bg", "bc", F.col("bs").alias("b_size"), "spread").join(
+        cells.select(F.col("no").alias("b"), F.col("cells").alias("b_cells")), "b").alias("y")
+    probes = asking.join(asked, (F.col("x.ag") == F.col("y.ag")) & (F.col("x.ac") == F.col("y.ac"))
+                         & at_most(_differ("a_cells", "b_cells") - F.col("spread")))  # no member is farther from the first class
+    probes = written(probes.select("a", "a_size", "a_cells", "b", "b_size", "bg", "bc", at_most(_differ("a_cells", "b_cells")).alias("near")).distinct(), "probes")
+    probed = written(_measured(probes.where("near").select("a", "b").distinct(), kept), "probed")
+    edges = written(edges.unionByName(probed.where(_are_linked(t)).select("a", "b")), "edges")
+    joined = graph.components(edges, written).withColumnRenamed("node", "no")
+    now = F.coalesce("component", "no")
+    # Then against those members, of other components still, that may be near enough: by their histograms, and, where its distance
+    # to the first class was measured, by that.
+    others = tagged.withColumnRenamed("component", "bc").join(joined, "no", "left").select(
+        F.col("group").alias("bg"), "bc", F.col("no").alias("other"), "far", F.col("cells").alias("other_cells"), now.alias("other_now")).alias("y")
+    known_far = probed.select("a", "b", distance.alias("apart"))
+    asking = probes.join(known_far, ["a", "b"], "left").withColumnRenamed("a", "no").join(joined, "no", "left").select(
+        F.col("no").alias("a"), "a_size", "a_cells", "b_size", "bg", "bc", "apart", now.alias("a_now")).alias("x")
+    rest = asking.join(others, (F.col("x.bg") == F.col("y.bg")) & (F.col("x.bc") == F.col("y.bc")) & (F.col("a_now") != F.col("other_now"))
+                       & F.coalesce(at_most(F.abs(F.col("apart") - F.col("far"))), F.lit(True)) & at_most(_differ("a_cells", "other_cells")))
+    rest = rest.select("a", F.col("other").alias("b")).distinct()
     more = written(_measured(written(rest, "rest"), kept).where(_are_linked(t)).select("a", "b"), "edges")
     whole = graph.components(edges.unionByName(more), written).withColumnRenamed("node", "no")
     # Ids: classes to components, rows to classes.
