@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope import fixed, schema
 from corpuscope.sources import versions
 
+ORPHAN_SECONDS = 24 * 3600.0    # after this long without a write, files without a header are of a failed run
+PAGE = 1000                     # folders deleted per query
+
 
 def snapshot_stats(snapshot_files: DataFrame) -> DataFrame:
     """(snapshot_id, total_files, total_size) and per language in ``language_breakdown``."""
@@ -79,16 +85,40 @@ class SnapshotStore:
         self._replace(updated(self.headers(), change))
         return True
 
+    def stored(self) -> DataFrame:
+        """(snapshot_id) of every folder of files, whether or not a header names it."""
+        names = versions.folder_names(self.spark, f"{self.base}/files")
+        ids = [(n.removeprefix("snapshot_id="),) for n in names if n.startswith("snapshot_id=")]
+        return self.spark.createDataFrame(ids, "snapshot_id string")
+
+    def orphans(self) -> DataFrame:
+        """Folders without a header: of runs that failed before their header, or while they freed files."""
+        return deleted(self.stored(), self.headers())
+
+    def sweep(self, grace_seconds: float = ORPHAN_SECONDS) -> int:
+        """Delete the files of orphans that nothing was written to for ``grace_seconds`` (a run that still
+        writes has no header yet); the number of folders deleted."""
+        oldest = time.time() - grace_seconds
+        return self._free(self.orphans(), lambda path: versions.last_written(self.spark, path) <= oldest)
+
     def _replace(self, headers: DataFrame, *created: str) -> None:
-        """Commit the headers, then free the files of the snapshots that are no longer named: a run that
-        ends in between leaves files too many, never a header without files."""
-        before = self._ids() | set(created)
+        """Commit the headers, then free the files of the snapshots that are no longer named, however many
+        an earlier ``keep`` allowed: a run that ends in between leaves files too many, which the next sweep
+        finds, never a header without files."""
+        before = self.headers().select("snapshot_id")
+        if created:
+            before = before.unionByName(self.spark.createDataFrame([(c,) for c in created], "snapshot_id string"))
         versions.write_version(headers, f"{self.base}/headers")
-        for gone in before - self._ids():
-            versions.remove(self.spark, f"{self.base}/files/snapshot_id={gone}")
-
-    def _ids(self) -> set[str]:
-        return {row["snapshot_id"] for row in self.headers().select("snapshot_id").take(self.keep + 1)}
+        self._free(deleted(before.distinct(), self.headers()))
+
+    def _free(self, ids: DataFrame, may_go: Callable[[str], bool] = lambda path: True) -> int:
+        """Delete folders page by page of their sorted ids, so the driver never holds all of them."""
+        freed, page = 0, ids.orderBy("snapshot_id").limit(PAGE)
+        while rows := page.take(PAGE):
+            paths = [f"{self.base}/files/snapshot_id={row['snapshot_id']}" for row in rows]
+            freed += sum(versions.remove(self.spark, path) for path in paths if may_go(path))
+            page = ids.filter(F.col("snapshot_id") > rows[-1]["snapshot_id"]).orderBy("snapshot_id").limit(PAGE)
+        return freed
 
 
 def save_named(stored: DataFrame, saves: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from corpuscope import fixed, session
 from corpuscope.operators import changes, filters, rollup, xref
@@ -12,25 +12,35 @@ from corpuscope.sources import files as fl
 from corpuscope.sources import ignore, state, tree
 
 
-def tree_files(
+def tree_scan(
     spark: SparkSession, root: str, exclude_dirs: list[str] | None = None,
-    max_bytes: int = fixed.MAX_FILE_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """(text files with metadata columns and notes, rejected files) of a directory tree. Path
-    rules are applied to the listing, so only files that stay are read."""
+    max_bytes: int = fixed.MAX_FILE_BYTES, observation: Observation | None = None,
+) -> DataFrame:
+    """Every file of a directory tree that path rules keep, with metadata columns and a ``reject_reason``:
+    one table in the shared folder. Each file is opened once, and one above ``max_bytes`` never; files,
+    notes, rejects, a change list and the next state are all read from the table, each only its columns.
+    With an ``observation`` the rows are counted as they are written (``files.scan_counts``)."""
     listed = tree.list_tree(spark, root, tree.SKIPPED_DIRECTORIES)
-    patterns = ignore.pattern_list(spark, root)
-    kept = fl.kept_paths(listed.filter("not is_dir"), patterns, exclude_dirs, max_bytes)
-    texts, rejects = fl.decoded(tree.read_bytes(kept, root))
-    return rollup.with_user_summaries(fl.described(texts)), rejects
+    kept = fl.kept_paths(listed.filter("not is_dir"), ignore.pattern_list(spark, root), exclude_dirs, None)
+    rows = fl.tagged(tree.read_bytes(kept, root, max_bytes), max_bytes)
+    if observation is not None:
+        rows = fl.scan_counts(rows, observation)
+    return session.written(fl.described(rows), "scan")
 
 
-def staged(files: DataFrame) -> DataFrame:
-    """The scanned files as a table in the shared folder. A report, its change list and the next
-    state all read it, each only its columns, instead of opening every file again."""
-    folder = session.new_folder(files.sparkSession, "files")
-    files.write.parquet(folder)
-    return files.sparkSession.read.schema(files.schema).parquet(folder)
+def with_notes(scan: DataFrame) -> DataFrame:
+    """The kept files of a scan and their notes."""
+    return rollup.with_user_summaries(fl.kept_texts(scan))
+
+
+def tree_files(
+    spark: SparkSession, root: str, exclude_dirs: list[str] | None = None,
+    max_bytes: int = fixed.MAX_FILE_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """(text files with metadata columns and notes, files that are not text) of a directory tree."""
+    scan = tree_scan(spark, root, exclude_dirs, max_bytes)
+    undecodable = fl.rejected(scan).filter(F.col("reject_reason") == fl.UNDECODABLE)
+    return with_notes(scan), undecodable.drop("reject_reason")
 
 
 def tree_report(files: DataFrame, style: str = "markdown", budget: int = fixed.CHAR_CHUNK_SIZE,
@@ -64,12 +74,12 @@ def aggregate_tree(
     spark: SparkSession, root: str, output: str, state_folder: str | None = None,
     incremental: bool = False, style: str = "markdown", budget: int = fixed.CHAR_CHUNK_SIZE,
     extra_spacing: bool = True, exclude_dirs: list[str] | None = None,
-    max_bytes: int = fixed.MAX_FILE_BYTES,
+    max_bytes: int = fixed.MAX_FILE_BYTES, observation: Observation | None = None,
 ) -> DataFrame | None:
     """Write the report of a tree to ``output``; with a state folder also track changes since
-    the last run (returned), and, if incremental, report only changed files."""
-    scanned, _ = tree_files(spark, root, exclude_dirs, max_bytes)
-    files = staged(scanned)
+    the last run (returned), and, if incremental, report only changed files. An ``observation``
+    tells how many files were listed, kept and rejected."""
+    files = with_notes(tree_scan(spark, root, exclude_dirs, max_bytes, observation))
     shown, changed = files, None
     if state_folder:
         before = state.load_state(spark, state_folder)

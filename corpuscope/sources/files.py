@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from corpuscope import fixed
 from corpuscope.functions import code, paths
@@ -28,13 +28,44 @@ def scan_tree(spark: SparkSession, root: str, max_bytes: int | None = None,
         F.col("content").alias("bytes"))
 
 
+TOO_LARGE, UNDECODABLE = "too large", "not UTF-8"
+
+
+def tagged(scanned: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Every scanned row with ``content`` and ``reject_reason``, in one pass: a file that is kept has no
+    reason and a content, a rejected one a reason and no content. Null ``bytes`` (a file that was listed and
+    not read) is decided by the size alone: too large, or an empty text."""
+    as_text = F.coalesce(F.col("bytes").cast("string"), F.lit(""))
+    reason = F.when(~F.is_valid_utf8(as_text), UNDECODABLE)
+    if max_bytes is not None:
+        reason = F.when(F.col("size") > max_bytes, TOO_LARGE).otherwise(reason)
+    found = scanned.withColumn("reject_reason", reason)
+    return found.withColumn("content", F.when(F.col("reject_reason").isNull(), as_text))
+
+
+def scan_counts(rows: DataFrame, observation: Observation) -> DataFrame:
+    """The tagged rows, counted on their way: ``listed``, ``kept``, ``too_large`` and ``undecodable`` are in
+    ``observation.get`` after the first action, without a pass of their own."""
+    reason = F.col("reject_reason")
+    return rows.observe(
+        observation, F.count(F.lit(1)).alias("listed"), F.count_if(reason.isNull()).alias("kept"),
+        F.count_if(reason == TOO_LARGE).alias("too_large"), F.count_if(reason == UNDECODABLE).alias("undecodable"))
+
+
+def kept_texts(rows: DataFrame) -> DataFrame:
+    return rows.filter("reject_reason IS NULL").drop("reject_reason")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """(relative_path, size, mtime, reject_reason) of what was not kept."""
+    return rows.filter("reject_reason IS NOT NULL").select("relative_path", "size", "mtime", "reject_reason")
+
+
 def decoded(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(text rows with ``content``, rejected rows). Nothing is lost: what is not UTF-8 is in
     the second table."""
-    as_text = F.col("bytes").cast("string")
-    texts = scanned.filter(F.is_valid_utf8(as_text)).withColumn("content", as_text)
-    rejects = scanned.filter(~F.is_valid_utf8(as_text))
-    return texts, rejects.select("relative_path", "size", "mtime")
+    rows = tagged(scanned)
+    return kept_texts(rows), rejected(rows).drop("reject_reason")
 
 
 def described(files: DataFrame, dialect: str = "tree") -> DataFrame:

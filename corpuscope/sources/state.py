@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscope import schema
+from corpuscope import schema, session
 from corpuscope.sources import versions
 
 
@@ -50,10 +50,24 @@ def read_tag_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return tags, applied
 
 
+FILE_BYTES = 128 * 1024 * 1024  # aimed at per file of a report
+
+
 def write_report(parts: DataFrame, path: str, order: list[str], text: str = "text",
-                 partitions: int | None = None) -> None:
-    """Write report parts as text files whose names follow the order of the parts. Rows are
-    ranged by the whole key, so one huge file or section is split over several output files."""
+                 partitions: int | None = None, file_bytes: int = FILE_BYTES) -> int:
+    """Write report parts as text files whose names follow the order of the parts; the number of files
+    asked for. Rows are ranged by the whole key, so one huge file or section is split over several
+    output files.
+
+    The parts are staged with their sizes first. A range exchange looks at its input twice (once for its
+    bounds), so without that every part would be rendered twice; and the sizes alone, one slim column, tell
+    how many files the report needs."""
     spark = parts.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts.repartitionByRange(n, *order).sortWithinPartitions(*order).select(text).write.text(path)
+    with session.scratch(spark) as keep:
+        rendered = keep(parts.select(*order, F.col(text).alias("part_text"), (F.coalesce(
+            F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("part_bytes")), "parts")
+        total = rendered.agg(F.sum("part_bytes").alias("n")).first()["n"] or 0
+        n = partitions or max(1, -(-total // file_bytes))
+        rendered.repartitionByRange(n, *order).sortWithinPartitions(*order).select(
+            F.col("part_text").alias("value")).write.text(path)
+    return n

@@ -63,8 +63,9 @@ def list_tree(spark: SparkSession, root: str, skip_pattern: str | None = None) -
     return spark.read.schema(_LISTED).parquet(*[f"{folder}/depth={d}" for d in range(depth + 1)])
 
 
-def read_bytes(listed: DataFrame, root: str) -> DataFrame:
-    """Add ``bytes`` to listed files (apply path and size filters to the listing first)."""
+def read_bytes(listed: DataFrame, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Add ``bytes`` to listed files (apply path filters to the listing first). A file above ``max_bytes``
+    is not opened; it stays in the table with null ``bytes``."""
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, base = _filesystem(root)
@@ -72,10 +73,12 @@ def read_bytes(listed: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             rows, held = [], 0
             for row in batch.itertuples(index=False):
-                with filesystem.open_input_stream(f"{base}/{row.relative_path}") as stream:
-                    data = stream.read()
+                data = None
+                if max_bytes is None or row.size <= max_bytes:
+                    with filesystem.open_input_stream(f"{base}/{row.relative_path}") as stream:
+                        data = stream.read()
+                    held += len(data)
                 rows.append((row.relative_path, row.size, row.mtime, data))
-                held += len(data)
                 if held >= _BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=["relative_path", "size", "mtime", "bytes"])
                     rows, held = [], 0

@@ -19,6 +19,21 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(folder, True)
 
 
+def folder_names(spark: SparkSession, base: str) -> list[str]:
+    """Names of the folders directly below ``base``; none when there is no such folder."""
+    fs, folder = _folder(spark, base)
+    if not fs.exists(folder):
+        return []
+    return [e.getPath().getName() for e in fs.listStatus(folder) if e.isDirectory()]
+
+
+def last_written(spark: SparkSession, path: str) -> float:
+    """Seconds since the epoch of the newest change of a folder or of what lies directly in it."""
+    fs, folder = _folder(spark, path)
+    times = [fs.getFileStatus(folder).getModificationTime()]
+    return max(times + [e.getModificationTime() for e in fs.listStatus(folder)]) / 1000
+
+
 def finished_versions(spark: SparkSession, base: str) -> list[int]:
     """Numbers of the versions whose write has been committed, ascending."""
     fs, folder = _folder(spark, base)

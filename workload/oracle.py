@@ -171,6 +171,17 @@ FROM heads WHERE day(ts) <> 2""")
 sql("snapshot_stats", FILES, """
 SELECT source AS snapshot_id, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_size FROM files GROUP BY 1""")
 
+sql("snapshot_store", FILES, f"""
+SELECT lang AS snapshot_id, 'described anew' AS description, lang AS tags, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_size
+FROM files WHERE lang = {text(q.SNAPSHOT_LANGS[-1])} GROUP BY lang
+UNION ALL SELECT 'all', 'all files', 'all', count(*), CAST(sum(size) AS BIGINT) FROM files""")
+sql("scan_rejects", FILES, f"""
+SELECT outcome, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes,
+  CAST(sum(CASE outcome WHEN 'kept' THEN length(content) ELSE 0 END) AS BIGINT) AS n_chars, count(*) AS n_observed,
+  (SELECT count(*) FROM files) AS n_listed
+FROM (SELECT *, size + (CASE lang WHEN 'de' THEN 1 ELSE 0 END) AS n, CASE WHEN size + (CASE lang WHEN 'de' THEN 1 ELSE 0 END) > {q.REJECT_ABOVE}
+  THEN 'too large' WHEN lang = 'de' THEN 'not UTF-8' ELSE 'kept' END AS outcome FROM files) GROUP BY outcome""")
+
 # --- filters -------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from corpuscope import fixed, session
 from corpuscope.functions import code, globs, paths, sensitive
@@ -27,6 +28,8 @@ EXCLUDE_DIRS = ["src1", "node", ".venv"]
 TOKEN = sensitive.SensitivePattern("Token", r"token\s*=\s*\"", r"[^\"]+", r"\"")
 ALL_PATTERNS = [*sensitive.BUILT_IN_PATTERNS, TOKEN]
 SEARCH = "tion[ae]n?d"
+SNAPSHOT_LANGS = ["en", "de", "fr", "es"]
+REJECT_ABOVE = 2500     # bytes
 WORD = "Tion the"
 
 
@@ -89,6 +92,25 @@ def scan_text(spark, d):
         F.sum("size").alias("n_bytes"), F.sum(line_feeds).cast("long").alias("n_lines"))
 
 
+@query
+def scan_rejects(spark, d):
+    """Documents as scanned files: texts in German end in a byte that UTF-8 does not have, large ones are not
+    kept. Files and bytes per reason beside the counts that the one pass over them observed."""
+    bytes_ = F.encode("content", "UTF-8")
+    broken = F.when(F.col("lang") == "de", F.concat(bytes_, F.lit(b"\xff"))).otherwise(bytes_)
+    scanned = _docs(spark, d).select("relative_path", "mtime", broken.alias("bytes")).withColumn(
+        "size", F.octet_length("bytes").cast("bigint"))
+    counts = Observation("scan")
+    rows = session.written(fl.scan_counts(fl.tagged(scanned, REJECT_ABOVE), counts).drop("bytes"), "scan")
+    seen = counts.get
+    of_reason = F.create_map(*[F.lit(x) for pair in (
+        ("kept", seen["kept"]), (fl.TOO_LARGE, seen["too_large"]), (fl.UNDECODABLE, seen["undecodable"])) for x in pair])
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("outcome")).agg(
+        F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"),
+        F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("bigint").alias("n_chars")).withColumns({
+            "n_observed": F.element_at(of_reason, F.col("outcome")), "n_listed": F.lit(seen["listed"])})
+
+
 @query
 def open_documents(spark, d):
     rows = _docs(spark, d).withColumn("scheme", F.when(F.col("lang") == "es", "untitled").when(
@@ -162,6 +184,27 @@ def snapshot_stats(spark, d):
     return snapshots.snapshot_stats(rows)
 
 
+@query
+def snapshot_store(spark, d):
+    """One snapshot per language and one of all files, through a store whose second opening keeps fewer; one
+    is described anew, one deleted, and the files of a run without a header are swept. What the folders
+    hold afterwards, beside the headers: a folder too many or too few would show."""
+    base = session.new_folder(spark, "snapshots")
+    rows = _docs(spark, d).select("relative_path", "language", "size", "content_hash", "content", "lang")
+    store = snapshots.SnapshotStore(spark, base)
+    for day, lang in enumerate(SNAPSHOT_LANGS, 1):
+        store.create(rows.filter(F.col("lang") == lang), lang, datetime(2025, 1, day), f"{lang} files", [lang])
+    smaller = snapshots.SnapshotStore(spark, base, keep=3)
+    smaller.create(rows, "all", datetime(2025, 2, 1), "all files", ["all"])
+    smaller.update(SNAPSHOT_LANGS[-1], description="described anew")
+    smaller.delete(SNAPSHOT_LANGS[-2])
+    rows.write.parquet(f"{base}/files/snapshot_id=unnamed")
+    smaller.sweep(grace_seconds=0)
+    held = snapshots.snapshot_stats(spark.read.parquet(f"{base}/files"))
+    heads = smaller.headers().select(F.col("snapshot_id").alias("named"), "description", listed(F.col("tags")).alias("tags"))
+    return heads.join(held, F.col("named") == F.col("snapshot_id"), "full").drop("named")
+
+
 # --- filters -------------------------------------------------------------------------------
 
 
