@@ -7,21 +7,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corpuscope import session
 
 
-def number_rows(df: DataFrame, group: str, order: str, buckets: int = 200, name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row in its ``group``, by the numeric ``order`` (equal
-    orders come in any order).
+def number_rows(df: DataFrame, group: str, order: str, buckets: int | None = None, name: str = "position") -> DataFrame:
+    """Add the 1-based position of each row in its ``group``, by ``order`` (equal orders come in any
+    order).
 
-    The order values are cut into ranges at approximate quantiles, rows are numbered inside
-    (group, range), and the counts of the earlier ranges are added. A group that holds most
-    rows is thus spread over all ranges. The cut points only balance the work: any cut gives
-    the same numbers. The ranged rows are written once, so both uses see the same ranges."""
-    cuts = df.agg(F.percentile_approx(
-        order, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts")).first()["cuts"]
-    points = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    if points:
-        bucket = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < F.col(order)))
-    ranged = session.written(df.withColumn("rank_range", bucket), "ranged")
+    Rows are ranged by (group, order), so a group that holds most rows is spread over most ranges;
+    how many there are follows from their size (adaptive execution merges small ones), or is given.
+    Rows are numbered inside (group, range), and the counts of the group's earlier ranges are added.
+    The cuts only balance the work: any cut gives the same numbers. The ranged rows are written once,
+    so both uses see the same ranges."""
+    cut = df.repartitionByRange(*([buckets] if buckets else []), group, order)
+    ranged = session.written(cut.withColumn("rank_range", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy(group, "rank_range").agg(F.count("*").alias("rank_n"))
     earlier = Window.partitionBy(group).orderBy("rank_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -198,7 +198,7 @@ def snapshot_store(spark, d):
     smaller.create(rows, "all", datetime(2025, 2, 1), "all files", ["all"])
     smaller.update(SNAPSHOT_LANGS[-1], description="described anew")
     smaller.delete(SNAPSHOT_LANGS[-2])
-    rows.write.parquet(f"{base}/files/snapshot_id=unnamed")
+    rows.drop("content").write.parquet(f"{base}/files/snapshot_id=unnamed")
     smaller.sweep(grace_seconds=0)
     held = snapshots.snapshot_stats(spark.read.parquet(f"{base}/files"))
     heads = smaller.headers().select(F.col("snapshot_id").alias("named"), "description", listed(F.col("tags")).alias("tags"))
