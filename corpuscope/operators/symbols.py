@@ -1,5 +1,6 @@
-"""Python symbols, decorators, annotations and imports, by line rules inside the row: no syntax
-tree and no shuffle. A text that is not valid Python yields whatever lines look like symbols."""
+"""Python symbols, decorators, annotations and imports, by line rules: no syntax tree. As tables they come from
+windows over lines (``blocks``); report sections, which need them beside the content of their file, take them from a scan inside
+the row, so that no content is shuffled. A text that is not valid Python yields whatever lines look like symbols."""
 
 from __future__ import annotations
 
@@ -7,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscope.functions import pysource
 from corpuscope.functions import text as tx
+from corpuscope.operators import blocks
 from corpuscope.operators import lines as ln
 
+
 def adjusted_lines(leading: Column, symbol: Column) -> Column:
     """struct(start, end): leading blank lines of the text are not counted, and a definition
     after blank lines is moved to two lines below the text before it, with end = start + 1."""
@@ -98,32 +101,34 @@ def python_files(files: DataFrame) -> DataFrame:
     return files.filter(F.lower("relative_path").rlike(r"\.pyw?$"))
 
 
+def listed(files: DataFrame) -> DataFrame:
+    """The listed symbols of Python files, one row each (``blocks.definitions``)."""
+    return blocks.definitions(blocks.statements(python_files(files))).filter("listed")
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """(relative_path, kind, name, parent, start_line, end_line) of Python files."""
-    return (
-        with_scan(python_files(files)).select("relative_path", F.inline("symbols"))
-        .select("relative_path", "kind", "name", "parent", "start_line", "end_line"))
+    return listed(files).select("relative_path", "kind", "name", "parent", "start_line", "end_line")
 
 
 def adjusted_symbols(files: DataFrame) -> DataFrame:
     """Symbols with their line range counted without leading blank lines."""
-    return (
-        with_scan(python_files(files))
-        .select("relative_path", F.inline(F.transform("symbols", lambda s: F.struct(
-            s["kind"].alias("kind"), s["name"].alias("name"), s["parent"].alias("parent"),
-            adjusted_lines(F.col("scan.leading"), s).alias("lines")))))
-        .select("relative_path", "kind", "name", "parent",
-                F.col("lines.start").alias("start_line"), F.col("lines.end").alias("end_line")))
+    place = F.struct("start_line", "end_line", "line_before")
+    return listed(files).withColumn("lines", adjusted_lines(F.col("leading"), place)).select(
+        "relative_path", "kind", "name", "parent",
+        F.col("lines.start").alias("start_line"), F.col("lines.end").alias("end_line"))
 
 
 def annotations(files: DataFrame) -> DataFrame:
     """(relative_path, category, label): distinct decorators and type annotations per file."""
-    found = with_scan(python_files(files)).select(
-        "relative_path", decorators_of(F.col("symbols")).alias("decorator"),
-        annotations_of(F.col("symbols")).alias("annotation"))
-    return found.select("relative_path", F.inline(F.concat(
-        F.transform("decorator", lambda d: F.struct(F.lit("decorator").alias("category"), d.alias("label"))),
-        F.transform("annotation", lambda a: F.struct(F.lit("annotation").alias("category"), a.alias("label"))))))
+    rows = blocks.definitions(blocks.with_decorators(blocks.statements(python_files(files)))).filter("listed")
+
+    def labelled(category: str, labels: Column) -> Column:
+        return F.transform(labels, lambda label: F.struct(F.lit(category).alias("category"), label.alias("label")))
+
+    decorators = F.array_compact(F.transform("decorators", decorator_label))
+    return rows.select("relative_path", F.inline(F.concat(
+        labelled("decorator", decorators), labelled("annotation", annotation_array(F.col("signature")))))).distinct()
 
 
 def decorators_of(symbols: Column) -> Column:
@@ -138,8 +143,8 @@ def annotations_of(symbols: Column) -> Column:
 
 def dependencies(files: DataFrame) -> DataFrame:
     """(relative_path, dependency) of Python files."""
-    return with_scan(python_files(files)).select(
-        "relative_path", F.explode(import_array(F.col("scan.imports"))).alias("dependency"))
+    found = blocks.imports(blocks.statements(python_files(files)))
+    return found.select("relative_path", F.explode(import_array(F.array("code"))).alias("dependency")).distinct()
 
 
 def analysis_text(content: Column) -> Column:

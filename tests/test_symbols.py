@@ -1,9 +1,10 @@
 import ast
+import pathlib
 
 from pyspark.sql import functions as F
 
-from corpuscope.functions import code
-from corpuscope.operators import lines, symbols
+from corpuscope.functions import code, pysource
+from corpuscope.operators import blocks, lines, symbols
 from corpuscope.plans import sections, toc
 
 BLANKS = "\n\n\n\ndef function1():\n    pass\n\n\n\ndef function2():\n    pass"
@@ -95,6 +96,38 @@ def test_symbols_agree_with_the_syntax_tree(make_files):
         assert mine == listed_by_syntax(source), path
 
 
+ODD = {
+    "empty.py": "", "blank.py": "\n  \n\n", "open.py": "x = (\n\ndef a():\n  pass", "tail.py": "@last\n@of_all",
+    "quotes.py": 's = "a\\"b # c"\ndef f(): # d\n    return \'"""\'\n\n\n# end\n',
+    "jump.py": "class A:\n    class B:\n        def c(self):\n            def d(): pass\n    def e(self): pass\nx = 1\n",
+    "far.py": "if a:\n  @x\n  @y(1)\n  def f():\n    def g():\n      pass\n  z = 2\n@w\ndef h(a: int): pass",
+    "split.py": "import a, \\\n  b\nfrom c import (d, # one\n  e)\ndef f(\n  a: int,\n) -> str:\n  '''t\ndef no():\n'''\n",
+    "under.py": "a = {\n'k': [1,\n2]}\n\n\n\ndef f(): return {\n1:2}\n\n\n\n\nclass G: pass"}
+
+
+def test_windows_agree_with_the_scan_of_a_row(make_files):
+    """Blocks, statements and decorators from windows over lines are those of the scan that report sections use."""
+    root = pathlib.Path(symbols.__file__).parent.parent
+    sources = ODD | {"mixed.py": MIXED} | {str(p.relative_to(root)): p.read_text() for p in sorted(root.rglob("*.py"))[:40]}
+    rows = blocks.statements(make_files(sources))
+    kept = ["start_line", "end_line", "kind", "name", "parent", "listed", "line_before", "decorators", "signature"]
+    found, imported = {}, {}
+    for r in blocks.definitions(blocks.with_decorators(rows)).collect():
+        found.setdefault(r.relative_path, []).append(([r[c] for c in kept], r.leading))
+    for r in blocks.imports(rows).collect():
+        imported.setdefault(r.relative_path, []).append(r.code)
+    for path, source in sources.items():
+        every, imports, leading = pysource.scan(source)
+        assert sorted(found.get(path, []), key=str) == sorted((([s[c] for c in kept], leading) for s in every), key=str), path
+        assert sorted(imported.get(path, [])) == sorted(imports), path
+
+
+def test_windows_need_one_exchange_and_no_python(make_files):
+    plan = blocks.definitions(blocks.with_decorators(blocks.statements(make_files({"a.py": MIXED}))))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "ArrowEvalPython" not in text
+
+
 def test_blank_lines_are_not_counted(make_files):
     rows = symbols.adjusted_symbols(make_files({"t.py": BLANKS})).collect()
     assert [(r.name, r.start_line, r.end_line) for r in rows] == [("function1", 1, 2), ("function2", 4, 5)]
