@@ -624,6 +624,11 @@ sql("apply_tags", APPLIED, "SELECT tag_id, applied_to FROM applied")
 sql("remove_tags", APPLIED, """
 SELECT tag_id, applied_to FROM applied WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.lang = 'fr'
   AND f.relative_path = applied_to AND 's-' || f.source = tag_id)""")
+sql("tag_store", APPLIED, """
+SELECT 'tag' AS kind, tag_id, scope || '/' || upper(tag_id) || '/#336699' AS value FROM known
+UNION ALL SELECT 'applied', tag_id, applied_to FROM applied WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.lang = 'fr'
+  AND f.relative_path = applied_to AND 's-' || f.source = tag_id)
+UNION ALL VALUES ('setting', 'enabled', 'true'), ('setting', 'override', 'true')""")
 sql("inherited_tags", APPLIED, "SELECT * FROM direct UNION ALL SELECT * FROM inherited")
 sql("inherited_tags_override", APPLIED, """
 SELECT * FROM direct UNION ALL SELECT * FROM inherited i WHERE NOT EXISTS (
@@ -764,6 +769,9 @@ SELECT relative_path, 1 AS part_no, concat_ws({NL}, '<div class="file-section ex
   '<tr><td>Dependencies</td><td>' || deps || '</td></tr>', '</table>', '</details>', '</div>',
   '<div class="code-block extra-spacing"><pre><code class="language-' || language || '">' || {escaped('content', '&#039;')} || '</code></pre></div>',
   '</div>', '<hr>', '') AS text FROM analysed""")
+sql("formatter_choice", "", " UNION ALL ".join(
+    f"SELECT '{style}' AS style, relative_path, part_no, text FROM ({ORACLES[name]})" for style, name in [
+        ("Markdown", "render_document_markdown"), ("HTML", "render_document_html"), ("other", "render_plaintext")]))
 sql("render_overview", [CODE, ANALYSED], f"""
 SELECT relative_path, chunk_no AS part_no, concat_ws({NL}, CASE WHEN chunk_no = 1 THEN concat_ws({NL}, {NL} || '## ' || relative_path,
     '```yaml', 'language: ' || language, 'size: ' || size_text, 'frameworks: ' || frames, '```') END,

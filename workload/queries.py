@@ -590,11 +590,34 @@ def apply_tags(spark, d):
     return _applied(spark, d)
 
 
+def _gone(spark, d):
+    return _docs(spark, d).filter("lang = 'fr'").select(
+        F.concat(F.lit("s-"), "source").alias("tag_id"), F.col("relative_path").alias("applied_to"))
+
+
 @query
 def remove_tags(spark, d):
-    gone = _docs(spark, d).filter("lang = 'fr'").select(
-        F.concat(F.lit("s-"), "source").alias("tag_id"), F.col("relative_path").alias("applied_to"))
-    return tags.remove_tags(_applied(spark, d), gone)
+    return tags.remove_tags(_applied(spark, d), _gone(spark, d))
+
+
+@query
+def tag_store(spark, d):
+    """Tags and applied tags saved and loaded, some taken away, saved as the next version and loaded again."""
+    base = session.new_folder(spark, "tags")
+    known = v.tags(spark, d).select(
+        "tag_id", F.upper("tag_id").alias("name"), F.lit("#336699").alias("color"),
+        F.lit(None).cast("string").alias("description"), "scope", F.lit(None).cast("string").alias("icon"))
+    applied = _applied(spark, d).withColumn("applied_at", F.lit("2025-01-16").cast("timestamp")).withColumn(
+        "applied_by", F.lit("rule"))
+    state.save_tags(known, applied, base)
+    loaded, held, _ = state.load_tags(spark, base)
+    state.save_tags(loaded, tags.remove_tags(held, _gone(spark, d)), base, override=True)
+    loaded, held, settings = state.load_tags(spark, base)
+    rows = loaded.select(F.lit("tag").alias("kind"), "tag_id", F.concat_ws("/", "scope", "name", "color").alias("value"))
+    rows = rows.unionByName(held.select(F.lit("applied").alias("kind"), "tag_id", F.col("applied_to").alias("value")))
+    return rows.unionByName(settings.select(F.inline(F.array(*[
+        F.struct(F.lit("setting").alias("kind"), F.lit(name).alias("tag_id"), F.col(name).cast("string").alias("value"))
+        for name in ("enabled", "override")]))))
 
 
 @query
@@ -758,6 +781,16 @@ def render_document_html(spark, d):
     return sections.document_html(_code(spark, d), ReportOptions(depth="standard", chunk_size=0))
 
 
+@query
+def formatter_choice(spark, d):
+    """The document sections by the name of a style; a name that is no style gives plain text."""
+    chosen = {"Markdown": ReportOptions(depth="comprehensive", chunk_size=20), "HTML": ReportOptions(chunk_size=0),
+              "other": ReportOptions(depth="detailed", chunk_size=20)}
+    rows = [sections.document_sections(_code(spark, d), name, options).withColumn("style", F.lit(name))
+            for name, options in chosen.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query
 def render_overview(spark, d):
     return sections.overview_sections(_code(spark, d), ReportOptions(chunk_size=20), enable_chunking=True)
