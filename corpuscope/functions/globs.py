@@ -47,7 +47,7 @@ def shell_regex(pattern: str) -> str:
 
 
 # Wildcards, whole classes, literal runs, and brackets that open no class.
-_TOKEN = r"(?s)\[!?\]?[^\]]*\]|\*+|\?|[^*?\[]+|\["
+TOKEN = r"(?s)\[!?\]?[^\]]*\]|\*+|\?|[^*?\[]+|\["
 
 
 def _escaped(text: Column) -> Column:
@@ -72,7 +72,7 @@ def _class_column(token: Column) -> Column:
 
 def shell_regex_column(pattern: Column) -> Column:
     """``shell_regex`` of a column of globs, which may hold anything. Not anchored."""
-    tokens = F.regexp_extract_all(pattern, F.lit(_TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(pattern, F.lit(TOKEN), F.lit(0))
     return F.array_join(F.transform(tokens, lambda token: (
         F.when(token.startswith("*"), r"[\s\S]*").when(token == "?", r"[\s\S]")
         .when(token.startswith("[") & (F.length(token) > 1), _class_column(token)).otherwise(_escaped(token)))), "")

@@ -54,3 +54,27 @@ def test_table_equals_list(spark):
     table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
     want = sorted(r[0] for r in filters.outside_rules(files, patterns).collect())
     assert sorted(r[0] for r in rules.outside_rule_table(files, table).collect()) == want
+
+
+def test_words_and_classes_against_brute_force(spark):
+    draw = random.Random(9)
+    pick = lambda xs: draw.choice(xs)
+    word = lambda: pick(["a", "b", "1", "12", "ab", "ü", "a1"])
+    given = sorted({pick(["/", "-", ".", "_", "^"]).join(word() for _ in range(draw.randrange(1, 5))).strip("/") for _ in range(250)})
+    pieces = ["*", "?", "[.-]", "[-._]", "[!a]", "[+-~]", "[/^]", "[^.]", "[_a]", "[a[.]", "[", ".", "/", "-", "_"]
+    for _ in range(5):
+        patterns = ["".join(pick([word(), word(), pick(pieces)]) for _ in range(draw.randrange(1, 6))) for _ in range(8)]
+        patterns = [p for p in patterns if "[^" not in p]  # fnmatch escapes a leading ^, which stands for itself in both
+        patterns += [f"{word()}[/^]{word()}*", f"*[.-]{word()}[_.]?", f"*{word()}[+-~]{word()}"]
+        assert kept(spark, given, patterns) == sorted(p for p in given if not hit(p, patterns)), patterns
+
+
+def test_each_rule_is_tried_on_few_paths(spark):
+    """Rules that share an extension, a directory, or have no literal end are told apart by their other words."""
+    n = 200
+    files = spark.range(n).select(F.concat(F.lit("src/en/doc_"), "id", F.lit(".md")).alias("path"))
+    shapes = ["concat('*_', id, '.md')", "concat('src/en/*_', id, '[.-]*')", "concat('sr?/*_', id, '.*')", "concat('*/doc_', id, '.md')"]
+    table = rules.indexed(spark.range(n + 50).selectExpr(f"inline(transform(array({', '.join(shapes)}), x -> struct(x AS pattern)))"))
+    assert table.where("size(keys) = 0").count() == 0
+    keys = files.select("path", F.explode(rules.path_keys(F.col("path"))).alias("key"))
+    assert keys.join(rules.rarest(table, keys), "key").count() == n * len(shapes)
