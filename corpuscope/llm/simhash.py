@@ -47,19 +47,23 @@ def terms(text: Column) -> Column:
 
 def votes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """The keys (unique) and ``bits``: the fingerprint's longs, of each row."""
-    each = rows.select(*keys, terms(F.col(text)).alias("__terms")).select(
-        *keys, (F.size("__terms") > RUN).alias("__many"), F.posexplode_outer("__terms").alias("__at", "__t"))
-    run = F.coalesce(F.floor(F.col("__at") / RUN), F.lit(0)).alias("__run")
     lanes = [F.sum(F.shiftrightunsigned(F.col(f"__t.h{half}"), shift).bitwiseAND(F.lit(LANES)) * F.col("__t.weight")).alias(f"__s{half}_{shift}")
              for half in range(HALVES) for shift in range(16)]
-    sums = each.groupBy(*keys, "__many", run).agg(F.sum("__t.weight").alias("__weight"), *lanes)
     # A lane holds at most RUN * MAX_WEIGHT, below 2**15. Bit ``shift + 16 * lane`` is in lane ``lane``.
-    # Texts of one run have their counts already; those of several runs are summed once more.
     counts = {f"__c{half}_{bit}": F.shiftrightunsigned(F.col(f"__s{half}_{bit % 16}"), bit // 16 * 16).bitwiseAND(F.lit(0xFFFF))
               for half in range(HALVES) for bit in range(64)}
-    one = sums.where(~F.col("__many")).select(*keys, "__weight", *[c.alias(name) for name, c in counts.items()])
-    several = sums.where("__many").groupBy(*keys).agg(F.sum("__weight").alias("__weight"), *[F.sum(c).alias(name) for name, c in counts.items()])
-    totals = one.unionByName(several)
+
+    def counted(some: DataFrame, run: list[Column]) -> DataFrame:
+        each = some.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("__at", "__t"))
+        sums = each.groupBy(*keys, *run).agg(F.sum("__t.weight").alias("__weight"), *lanes)
+        return sums.select(*keys, "__weight", *[c.alias(name) for name, c in counts.items()])
+
+    # Words are parted by white space, so a text of fewer than 2 * RUN bytes is one run, and its lanes are its counts. The runs of
+    # longer ones are summed once more. The bytes tell before any term is made, so no text has its terms made twice.
+    short = F.coalesce(F.octet_length(text), F.lit(0)) < 2 * RUN
+    one = counted(rows.where(short), [])
+    several = counted(rows.where(~short), [F.coalesce(F.floor(F.col("__at") / RUN), F.lit(0)).alias("__run")])
+    totals = one.unionByName(several.groupBy(*keys).agg(F.sum("__weight").alias("__weight"), *[F.sum(name).alias(name) for name in counts]))
     longs = [reduce(lambda a, b: a.bitwiseOR(b), [
         F.when(2 * F.col(f"__c{half}_{bit}") > F.col("__weight"), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0))
         for bit in range(64)]).cast("long") for half in range(HALVES)]

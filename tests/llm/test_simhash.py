@@ -56,6 +56,17 @@ def test_one_term_all_over(spark):
     assert {r.doc_id: r.fingerprint for r in rows} == {k: brute(t, table) for k, t in enumerate(texts)}
 
 
+def test_terms_are_made_once(spark):
+    """Texts on both sides of the longest single run, and no condition that has to make the terms to decide."""
+    texts = [" ".join("abcdefg"[i % 7] for i in range(simhash.RUN + more)) for more in (-1, 0, 1)]
+    texts += ["x" * size for size in (2 * simhash.RUN - 1, 2 * simhash.RUN, 5 * simhash.RUN)]
+    prints = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    table = hashes(spark, {t for text in texts for t in terms_of(text)})
+    assert {r.doc_id: r.fingerprint for r in prints.collect()} == {k: brute(t, table) for k, t in enumerate(texts)}
+    plan = prints._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if re.match(r"[\s:+-]*Filter\b", x) and "zip_with" in x]
+
+
 def test_defined_cases(spark, monkeypatch):
     long = " ".join(f"w{i % 5000}" for i in range(30_000))
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "one", 3), (3, "one", 3), (None, "x y z", 4), (5, long, 5)],
