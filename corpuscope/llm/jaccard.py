@@ -15,7 +15,8 @@
    one component is done. Of what is left, in different components, the members of the smaller side are measured against the
    other group's first class, and what is linked so becomes one component; members of components that still differ
    are expanded only where both are about as far from that first class, and where a histogram of their elements allows
-   a link. So texts near a large group, but not linked with it, are not verified against all of its members.
+   a link. Two groups meet at all only where the parities of a class of each (512 cells) allow a link of members. So texts near a
+   large group, but not linked with it, are not verified against all of its members; only their parities are compared.
 
 Every link decides over the components, though links inside a component are not all written down. Sets are
 compared as 64-bit hashes of n-grams; equal sets by 128 bits.
@@ -30,6 +31,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -170,8 +173,26 @@ def _differ(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)
 
 
+MARKS = 8  # longs
+
+
+def parities(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """``MARKS`` longs of each set, a bit per cell of the hashes: whether it holds an odd number of elements. Each element that two
+    sets differ in changes one bit, so as many bits differ at most."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    bits = MARKS * 64
+    cell = (w.mixed(grams) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(rows * bits + cell, minlength=(len(offsets) - 1) * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(a: str, b: str) -> Column:
+    """How many elements two sets differ in at least, by their parities."""
+    return reduce(add, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(MARKS)])
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """no, size, grams, cells: the set of each class and its histogram, once per task (equal rows, of one id and text, may lie in several)."""
+    """no, size, grams, cells, marks: the set of each class, its histogram and its parities, once per task (equal rows, of one id and text, may lie in several)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
@@ -182,9 +203,12 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             last = no[-1] if len(no) else last
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * CELLS
             cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(histograms(offsets, grams)))
-            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("size"), lists, cells], ["no", "size", "grams", "cells"]).take(pa.array(fresh))
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * MARKS
+            marks = pa.ListArray.from_arrays(pa.array(ends), pa.array(parities(offsets, grams)))
+            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("size"), lists, cells, marks],
+                                             ["no", "size", "grams", "cells", "marks"]).take(pa.array(fresh))
 
-    return docs.mapInArrow(run, "no long, size long, grams array<long>, cells array<int>")
+    return docs.mapInArrow(run, "no long, size long, grams array<long>, cells array<int>, marks array<long>")
 
 
 def _measured(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -251,8 +275,9 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     posts = groups.select("group", "head", "size", "lone", F.posexplode("prefix").alias("nth", "gram"))
     posts = written(posts.withColumn("place", F.col("lone") + F.col("nth")), "posts")
     members = prefixes.select("group", "no", "size")
-    heads = posts.groupBy("gram").agg(F.min(F.struct("head", "size", "place")).alias("hub")).select("gram", "hub.*").withColumnsRenamed(
-        {"head": "a", "size": "hub_size", "place": "hub_place"})
+    # Of copies with changes of their own, the one with the fewest n-grams of its own is nearest to all others.
+    heads = posts.groupBy("gram").agg(F.min(F.struct("lone", "head", "size", "place")).alias("hub")).select(
+        "gram", F.col("hub.head").alias("a"), F.col("hub.size").alias("hub_size"), F.col("hub.place").alias("hub_place"))
     stars = posts.join(heads, "gram").where(_may_link("", "hub_", t)).select("a", "group").distinct()
     own = prefixes.join(groups.select("group", F.col("head").alias("a")), "group").select("a", F.col("no").alias("b"))
     first = stars.join(members, "group").select("a", F.col("no").alias("b")).unionByName(own).where("a <> b").distinct()
@@ -264,7 +289,10 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     far = own.join(measured, ["a", "b"]).select(F.col("b").alias("no"), distance.alias("far"))
     tagged = members.join(known.withColumnRenamed("node", "no"), "no", "left").join(far, "no", "left")
     tagged = written(tagged.select("group", "no", "size", F.coalesce("component", "no").alias("component"), F.coalesce("far", F.lit(0)).alias("far")), "tagged")
-    held_by = tagged.groupBy("group", "component").agg(F.count("*").alias("n"), F.max("far").alias("spread"))
+    held_by = tagged.groupBy("group", "component").agg(F.count("*").alias("n"), F.max("far").alias("spread"), F.min(F.struct("far", "no")).alias("near"))
+    # One of the members of a component in a group, and how far the others are from it at most.
+    held_by = held_by.select("group", "component", "n", "spread", F.col("near.no").alias("one"),
+                             F.when(F.col("n") == 1, 0).otherwise(F.col("near.far") + F.col("spread")).alias("radius"))
     # How far the first class of a group is from that of its list: where both are known, they bound the distance of two groups.
     centre = measured.select("a", F.col("b").alias("head"), distance.alias("off"))
     placed = posts.join(heads.select("gram", "a"), "gram").join(centre, ["a", "head"], "left").select(
@@ -272,14 +300,18 @@ def _linked(df: DataFrame, n: int, threshold: Fraction, text: str, key: str, wri
     lists = written(placed.join(held_by, "group"), "lists")
     mixed = lists.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     open_lists = written(lists.join(mixed, "gram").join(groups.select("group", "prefix"), "group"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    ones = kept.select(F.col("no").alias("one"), "marks").join(open_lists.select("one").distinct(), "one").dropDuplicates(["one"])
+    marked = written(open_lists.join(ones, "one"), "marked")
+    x, y = marked.alias("x"), marked.alias("y")
     # Members of one group meet at its first element, other groups at the first that both prefixes have.
     before = F.arrays_overlap(F.slice("x.prefix", F.lit(1), F.col("x.nth")), F.slice("y.prefix", F.lit(1), F.col("y.nth")))
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.component") < F.col("y.component")))
-    least = F.abs(F.col("x.off") - F.col("y.off")) - F.col("x.spread") - F.col("y.spread")
-    bound = least * (t.denominator + t.numerator) <= (F.col("x.size") + F.col("y.size")) * (t.denominator - t.numerator)
+    # Two members differ in no fewer elements than two others do, less what they are away from those.
+    by_centre = F.abs(F.col("x.off") - F.col("y.off")) - F.col("x.spread") - F.col("y.spread")  # ``off`` may be unknown: null
+    by_parity = _apart("x.marks", "y.marks") - F.col("x.radius") - F.col("y.radius")
+    bound = F.greatest(by_centre, by_parity) * (t.denominator + t.numerator) <= (F.col("x.size") + F.col("y.size")) * (t.denominator - t.numerator)
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & smaller
-                 & _may_link("x.", "y.", t) & F.coalesce(bound, F.lit(True)) & ~before).select(
+                 & _may_link("x.", "y.", t) & bound & ~before).select(
         F.col("x.group").alias("ag"), F.col("x.component").alias("ac"), F.col("y.group").alias("bg"), F.col("y.component").alias("bc"),
         F.col("y.head").alias("b"), F.col("y.size").alias("bs"), F.col("y.spread").alias("spread"))
     # The smaller side against the other group's first class; what is linked so is one component from here on. Pairs whose

@@ -5,6 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from corpuscope import session
 from corpuscope.llm import graph, jaccard
 from corpuscope.llm.queries import QUERIES
 
@@ -70,6 +71,38 @@ def test_hot_groups(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(9, 10)) == brute(rows, 3, Fraction(9, 10))
 
 
+def test_many_texts_near_one(spark):
+    """Copies of one text with changes of their own, most of them too far from each other: the result is whole, and the pairs of
+    groups that go on to be compared are far fewer than all."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for key in range(400):
+        words = list(base)
+        for at in draw.sample(range(150), draw.randrange(1, 9)):
+            words[at] = f"v{draw.randrange(60)}"
+        rows.append((key, " ".join(words)))
+    df, made = spark.createDataFrame(rows, "doc_id long, text string"), {}
+
+    def written(rows, label):
+        made.setdefault(label, []).append(out := session.written(rows, label))
+        return out
+
+    out = jaccard._linked(df, 5, Fraction(4, 5), "text", "doc_id", written)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == brute(rows, 5, Fraction(4, 5))
+    assert made["lists"][0].select("component").distinct().count() > 100
+    assert made["probes"][0].count() < 8 * len(rows)
+
+
+def test_parities_bound_the_difference():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        common, one, two = (draw.integers(0, 2**63, int(n), np.uint64) for n in draw.integers(0, 300, 3))
+        grams = [np.concatenate([common, one]), np.concatenate([common, two])]
+        a, b = jaccard.parities(np.cumsum([0, *map(len, grams)]), np.concatenate(grams)).view(np.uint64).reshape(2, jaccard.MARKS)
+        assert int(np.bitwise_count(a ^ b).sum()) <= len(one) + len(two)
+
+
 def test_defined_cases(spark):
     long = " ".join(str(i) for i in range(20_000))
     rows = [(5, None), (4, ""), (3, " \n"), (7, "A b"), (6, "a  B"), (8, "a b c"), (None, "x y z w"), (None, "x y z w"), (9, "x y z w"),
